@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadmill.llm import cooccur, threads
+from threadmill.llm import cooccur, mixing, packing, sentences, threads
 from threadmill.sources.tables import reader
 
 
@@ -27,7 +27,29 @@ def p6_scores(spark: SparkSession, root: str) -> DataFrame:
     return found.withColumn("lift", F.round("lift", 6)).withColumn("conviction", F.round("conviction", 6))
 
 
-QUERIES = {"p5_found": p5_found, "p6_found": p6_found, "p6_scores": p6_scores}
+def p8_packed(spark: SparkSession, root: str) -> DataFrame:
+    return packing.pack_documents(reader(spark, root)("documents"))
+
+
+def p8_fill(spark: SparkSession, root: str) -> DataFrame:
+    return packing.fill_report(packing.pack_documents(reader(spark, root)("documents")))
+
+
+def p9_uses(spark: SparkSession, root: str) -> DataFrame:
+    t = reader(spark, root)
+    return mixing.mixture(t("documents"), t("mix_targets"))
+
+
+def p9_shares(spark: SparkSession, root: str) -> DataFrame:
+    t = reader(spark, root)
+    return mixing.mixture_report(mixing.mixture(t("documents"), t("mix_targets")), t("mix_targets"))
+
+
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    return sentences.sentences(reader(spark, root)("documents"))
+
+
+QUERIES = {"p5_found": p5_found, "p6_found": p6_found, "p6_scores": p6_scores, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_uses": p9_uses, "p9_shares": p9_shares, "p10_found": p10_found}
 
 _OWNER = threads.OWNER
 
