@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadmill.llm import cooccur, mixing, packing, sentences, threads
+from threadmill.llm import cooccur, mixing, names, neighbours, packing, sentences, threads
 from threadmill.sources.tables import reader
 
 
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    t = reader(spark, root)
+    return names.variant_pairs(t("contacts"), t("extracted_entities"), t("known_nicknames"))
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    return neighbours.mutual_pairs(reader(spark, root)("messages"))
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return threads.conversations(reader(spark, root)("messages"))
 
@@ -49,7 +58,7 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
     return sentences.sentences(reader(spark, root)("documents"))
 
 
-QUERIES = {"p5_found": p5_found, "p6_found": p6_found, "p6_scores": p6_scores, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_uses": p9_uses, "p9_shares": p9_shares, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_scores": p6_scores, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_uses": p9_uses, "p9_shares": p9_shares, "p10_found": p10_found}
 
 _OWNER = threads.OWNER
 
