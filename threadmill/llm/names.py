@@ -145,7 +145,7 @@ def learn_lexicon(names: DataFrame, contacts: DataFrame, nicknames: DataFrame, r
     sides = both.groupBy("token").agg(F.count_distinct("other").alias("n"), F.avg("first").alias("first"), F.avg(F.col("other").isin(*prefixes).cast("int")).alias("kinds"), F.avg(F.col("other").isin(*listed, *known).cast("int") if known else F.lit(0)).alias("given"))
     common = sides.where(F.col("n") >= least).collect()  # at most 2 x rarity rows
     given = listed | {r["token"] for r in common if r["first"] >= 0.5 and r["kinds"] < 0.3 and r["token"] not in kinds and r["token"] not in known}
-    kinds |= {r["token"] for r in common if r["first"] < 0.5 and r["given"] < 0.3 and r["kinds"] < 0.3 and r["token"] not in given and r["token"] not in known and r["token"] not in prefixes}
+    kinds |= {r["token"] for r in common if r["n"] >= 3 * least and r["first"] < 0.5 and r["given"] < 0.3 and r["kinds"] < 0.3 and r["token"] not in given and r["token"] not in known and r["token"] not in prefixes}
     # a misspelling that is common enough to be learned yields to the name it misspells
     weight = {r["token"]: r["n"] for r in common}
     given -= {g for g in given - listed if any(h != g and weight.get(h, 10**9) > 3 * weight.get(g, 0) and edits(g, h, 1) <= 1 for h in given)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadmill.llm import cooccur, mixing, names, neighbours, packing, sentences, threads
+from threadmill.llm import cooccur, mixing, names, neighbours, packing, pii, sentences, threads
 from threadmill.sources.tables import reader
 
 
@@ -36,6 +36,20 @@ def p6_scores(spark: SparkSession, root: str) -> DataFrame:
     return found.withColumn("lift", F.round("lift", 6)).withColumn("conviction", F.round("conviction", 6))
 
 
+def _pii(spark: SparkSession, root: str) -> DataFrame:
+    t = reader(spark, root)
+    return pii.find_pii(t("messages"), t("contacts"), t("extracted_entities"), t("known_nicknames"))
+
+
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    return _pii(spark, root).select("id", "chat_jid", "field_name", "pii_kind", "pii_text").distinct()
+
+
+def p7_redacted(spark: SparkSession, root: str) -> DataFrame:
+    """Every row of messages with typed placeholders in its text and push name."""
+    return pii.redact(reader(spark, root)("messages"), _pii(spark, root))
+
+
 def p8_packed(spark: SparkSession, root: str) -> DataFrame:
     return packing.pack_documents(reader(spark, root)("documents"))
 
@@ -58,7 +72,7 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
     return sentences.sentences(reader(spark, root)("documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_scores": p6_scores, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_uses": p9_uses, "p9_shares": p9_shares, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_scores": p6_scores, "p7_found": p7_found, "p7_redacted": p7_redacted, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_uses": p9_uses, "p9_shares": p9_shares, "p10_found": p10_found}
 
 _OWNER = threads.OWNER
 

@@ -54,7 +54,7 @@ def plain(text: str) -> str:
 
 def sound(token: str) -> str:
     """One spelling for letters that stand for one sound."""
-    return token.replace("ph", "f").replace("x", "ks").replace("ck", "k").replace("c", "k").replace("q", "k").replace("w", "v")
+    return token.replace("ph", "f").replace("ks", "x").replace("ck", "k").replace("c", "k").replace("q", "k").replace("w", "v")
 
 
 def tokens_of(text: str | None) -> list[str]:
