@@ -1,0 +1,664 @@
+"""Queries of the reference's operators over the domain tables, each with its SQL.
+
+All run over whole tables.  Times are microseconds since the epoch in UTC and
+``AS_OF`` stands for the present, so that results repeat.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from threadmill.functions import columns
+from threadmill.operators import filters, intervals, upsert
+from threadmill.plans import entities, graph, reports, retrieval, store
+from threadmill.sources.tables import SCHEMAS, blank, empty, micros, reader
+
+#: 2026-06-01 00:00:00 UTC.
+AS_OF = 1_780_272_000_000_000
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+_M = """m AS (SELECT id, chat_jid, any_value(epoch_us(timestamp)) AS us, any_value(regexp_replace(sender_jid, ':[0-9]+@', '@')) AS sender,
+  any_value(coalesce(is_from_me, false)) AS mine, any_value(coalesce(is_group, false)) AS grouped, any_value(text_content) AS text_content,
+  any_value(msg_type) AS msg_type, max(nullif(push_name, '')) AS push_name, any_value(sent_dow) AS sent_dow, any_value(sent_hour) AS sent_hour
+  FROM messages GROUP BY id, chat_jid)"""
+_C = """c AS (SELECT jid, max(nullif(push_name, '')) AS push_name, max(nullif(full_name, '')) AS full_name, max(nullif(business_name, '')) AS business_name,
+  max(nullif(group_name, '')) AS group_name, bool_or(coalesce(is_group, false)) AS is_group FROM contacts GROUP BY jid)"""
+_E = "e AS (SELECT message_id, entity_type, entity_value, min(chat_jid) AS chat_jid FROM extracted_entities GROUP BY message_id, entity_type, entity_value)"
+_P = "p AS (SELECT jid AS source_id, coalesce(push_name, full_name, business_name, jid) AS display_name, push_name, full_name FROM c WHERE NOT is_group)"
+_DM = """dm AS (SELECT sender, chat_jid AS receiver, count(*) AS message_count, min(us) AS first_us, max(us) AS last_us FROM m
+  WHERE NOT grouped AND sender IN (SELECT source_id FROM p) AND chat_jid IN (SELECT source_id FROM p) GROUP BY sender, chat_jid)"""
+_MO = """mo AS (SELECT sender AS person, chat_jid AS group_jid, count(*) AS message_count, min(us) AS first_us, max(us) AS last_us FROM m
+  WHERE grouped AND sender IN (SELECT source_id FROM p) GROUP BY sender, chat_jid)"""
+_CO = "co AS (SELECT a.person AS person1, b.person AS person2, count(*) AS shared_groups FROM mo a JOIN mo b ON a.group_jid = b.group_jid AND a.person < b.person GROUP BY 1, 2)"
+_CV = """k AS (SELECT * FROM m WHERE grouped AND sender IN (SELECT source_id FROM p)),
+cv AS (SELECT a.sender AS person1, b.sender AS person2, a.chat_jid AS group_jid, count(*) AS exchange_count, min(a.us) AS first_us, max(a.us) AS last_us
+  FROM k a JOIN k b ON a.chat_jid = b.chat_jid AND a.sender < b.sender AND b.us BETWEEN a.us AND a.us + 300000000 GROUP BY 1, 2, 3)"""
+_ME = """me AS (SELECT m.sender AS person, e.entity_type, e.entity_value, count(*) AS mention_count FROM e JOIN m ON m.id = e.message_id AND m.chat_jid = e.chat_jid
+  WHERE m.sender IN (SELECT source_id FROM p) GROUP BY 1, 2, 3)"""
+_W = """w AS (SELECT src, dst, sum(weight) AS weight FROM (
+  SELECT sender AS src, receiver AS dst, message_count * 3.0::DOUBLE AS weight FROM dm
+  UNION ALL SELECT person1, person2, exchange_count * 5.0::DOUBLE FROM cv UNION ALL SELECT person2, person1, exchange_count * 5.0::DOUBLE FROM cv
+  UNION ALL SELECT a.person, b.person, count(*)::DOUBLE FROM mo a JOIN mo b ON a.group_jid = b.group_jid AND a.person <> b.person GROUP BY 1, 2
+  UNION ALL SELECT a.person, b.person, count(*) * 2.0::DOUBLE FROM me a JOIN me b ON a.entity_type = b.entity_type AND a.entity_value = b.entity_value AND a.person <> b.person GROUP BY 1, 2
+) GROUP BY src, dst)"""
+_GRAPH = f"{_M}, {_C}, {_E}, {_P}, {_DM}, {_MO}, {_CV}, {_ME}"
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return keep
+
+
+def _messages(spark, root, *cols, names=False):
+    return store.messages(reader(spark, root)("messages"), *cols, names=names)
+
+
+def _contacts(spark, root):
+    return store.contacts(reader(spark, root)("contacts"))
+
+
+def _entities(spark, root):
+    return store.entities(reader(spark, root)("extracted_entities"))
+
+
+def graph_parts(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """All vertices and edges over one store."""
+    messages, contacts, found = _messages(spark, root), _contacts(spark, root), _entities(spark, root)
+    people = graph.persons(contacts)
+    member, direct, talked, mentioned = graph.member_of(messages, people), graph.messaged(messages, people), graph.conversed(messages, people), graph.mentions(messages, found, people)
+    topic = graph.topics(found)
+    return {
+        "persons": people,
+        "groups": graph.groups(contacts, messages),
+        "topics": topic,
+        "entities": graph.entity_vertices(found),
+        "messaged": direct,
+        "member_of": member,
+        "conversed": talked,
+        "mentions": mentioned,
+        "co_occurs": graph.co_occurs(member),
+        "discusses": graph.discusses(mentioned, topic),
+        "digraph": graph.weighted_digraph(direct, talked, member, mentioned),
+    }
+
+
+# ------------------------------------------------------------ sources and sinks
+
+
+@query("sc1_scan_projection", "SELECT id, chat_jid, msg_type FROM messages")
+def _(spark, root):
+    return reader(spark, root)("messages").select("id", "chat_jid", "msg_type")
+
+
+@query("sc5_typed_empty", "SELECT message_id, entity_type, entity_value FROM extracted_entities WHERE false")
+def _(spark, root):
+    return empty(spark, "extracted_entities").select("message_id", "entity_type", "entity_value")
+
+
+@query(
+    "sc6_schema_columns",
+    "SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{f.name}', '{f.dataType.simpleString()}', {i}::BIGINT)" for t, s in SCHEMAS.items() for i, f in enumerate(s.fields)) + ") AS v(table_name, column_name, column_type, position)",
+)
+def _(spark, root):
+    rows = [(t, f.name, f.dataType.simpleString(), i) for t in SCHEMAS for i, f in enumerate(empty(spark, t).schema.fields)]
+    return spark.createDataFrame(rows, "table_name string, column_name string, column_type string, position bigint")
+
+
+@query(
+    "sc7_insert_or_ignore",
+    "SELECT id, chat_jid, arg_min(text_digest, (batch_no, arrival_no)) AS text_digest, arg_min(arrival_no, (batch_no, arrival_no)) AS arrival_no FROM message_arrivals GROUP BY id, chat_jid",
+)
+def _(spark, root):
+    return upsert.first_wins(reader(spark, root)("message_arrivals"), ["id", "chat_jid"], F.struct("batch_no", "arrival_no"), ["text_digest", "arrival_no"])
+
+
+@query(
+    "sc8_upsert_last_wins",
+    "SELECT id, chat_jid, arg_max(text_digest, (batch_no, arrival_no)) AS text_digest, arg_max(batch_no, (batch_no, arrival_no)) AS batch_no FROM message_arrivals GROUP BY id, chat_jid",
+)
+def _(spark, root):
+    return upsert.last_wins(reader(spark, root)("message_arrivals"), ["id", "chat_jid"], F.struct("batch_no", "arrival_no"), ["text_digest", "batch_no"])
+
+
+@query(
+    "sc9_keyed_update",
+    """WITH ch AS (SELECT message_id AS id, chat_jid, max(category) AS category FROM classifications GROUP BY 1, 2),
+t AS (SELECT id, chat_jid, any_value(msg_type) AS msg_type FROM messages GROUP BY id, chat_jid)
+SELECT t.id, t.chat_jid, coalesce(ch.category, t.msg_type) AS msg_type FROM t LEFT JOIN ch ON t.id = ch.id AND t.chat_jid = ch.chat_jid""",
+)
+def _(spark, root):
+    t = reader(spark, root)
+    changes = t("classifications").groupBy(F.col("message_id").alias("id"), "chat_jid").agg(F.max("category").alias("msg_type")).where("msg_type is not null")
+    return upsert.updated(t("messages").select("id", "chat_jid", "msg_type").dropDuplicates(["id", "chat_jid"]), changes, ["id", "chat_jid"], "msg_type")
+
+
+@query("sc10_column_reset", "SELECT id, chat_jid, CAST(NULL AS VARCHAR) AS media_path FROM messages")
+def _(spark, root):
+    return upsert.cleared(reader(spark, root)("messages").select("id", "chat_jid", "media_path"), "media_path")
+
+
+@query("sc11_dedup_keep_first", f"WITH {_E} SELECT * FROM e")
+def _(spark, root):
+    return _entities(spark, root)
+
+
+@query(
+    "sc12_payload_decode",
+    """SELECT event_id, CASE WHEN json_extract_string(props, '$.k') IS NULL THEN 'other' WHEN CAST(json_extract_string(props, '$.k') AS INT) < 50 THEN 'low' ELSE 'high' END AS variant,
+CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events""",
+)
+def _(spark, root):
+    k = F.get_json_object("props", "$.k").cast("int")
+    return reader(spark, root)("events").select("event_id", F.when(k.isNull(), "other").when(k < 50, "low").otherwise("high").alias("variant"), k.alias("k"))
+
+
+@query(
+    "sc13_media_selection",
+    """SELECT DISTINCT id, chat_jid, msg_type FROM messages WHERE raw_proto IS NOT NULL AND NOT coalesce(media_downloaded, false)
+AND msg_type IN ('image', 'video', 'audio', 'document', 'sticker') AND timestamp >= TIMESTAMPTZ '2026-03-05 00:00:00+00' AND timestamp <= TIMESTAMPTZ '2026-04-20 00:00:00+00'""",
+)
+def _(spark, root):
+    return filters.media_to_download(reader(spark, root)("messages"), "2026-03-05", "2026-04-20").select("id", "chat_jid", "msg_type").distinct()
+
+
+@query(
+    "sc14_media_path",
+    """SELECT DISTINCT id, chat_jid, 'media/' || replace(replace(chat_jid, '@', '_'), ':', '_') || '/' || strftime(timezone('UTC', timestamp), '%Y-%m-%d') || '_' || id || '.' ||
+CASE split_part(lower(media_type), ';', 1) WHEN 'image/jpeg' THEN 'jpg' WHEN 'image/png' THEN 'png' WHEN 'image/webp' THEN 'webp' WHEN 'image/gif' THEN 'gif' WHEN 'video/mp4' THEN 'mp4'
+WHEN 'video/3gpp' THEN '3gp' WHEN 'audio/ogg' THEN 'ogg' WHEN 'audio/mpeg' THEN 'mp3' WHEN 'audio/mp4' THEN 'm4a' WHEN 'application/pdf' THEN 'pdf'
+ELSE CASE msg_type WHEN 'image' THEN 'jpg' WHEN 'video' THEN 'mp4' WHEN 'audio' THEN 'ogg' ELSE 'bin' END END AS path
+FROM messages WHERE media_type IS NOT NULL AND media_type <> ''""",
+)
+def _(spark, root):
+    media = reader(spark, root)("messages").where("media_type is not null and media_type <> ''")
+    path = columns.media_path("media", F.col("chat_jid"), F.col("timestamp"), F.col("id"), F.col("media_type"), F.col("msg_type"))
+    return media.select("id", "chat_jid", path.alias("path")).distinct()
+
+
+# ------------------------------------------------------------ reports
+
+
+@query(
+    "qr1_summary",
+    f"""WITH {_M} SELECT count(*) AS total_messages, count(DISTINCT chat_jid) AS total_chats, count(DISTINCT sender) AS unique_senders, min(us) AS earliest_us, max(us) AS latest_us,
+CAST(coalesce(sum(CASE WHEN mine THEN 1 ELSE 0 END), 0) AS BIGINT) AS sent_by_me, CAST(coalesce(sum(CASE WHEN NOT mine THEN 1 ELSE 0 END), 0) AS BIGINT) AS received FROM m""",
+)
+def _(spark, root):
+    return reports.summary(_messages(spark, root))
+
+
+@query(
+    "qr2_unanswered",
+    f"""WITH {_M}, s AS (SELECT chat_jid, max(us) FILTER (WHERE mine) AS sent_us, max(us) FILTER (WHERE NOT mine) AS received_us,
+  last(push_name ORDER BY us, id) AS contact, last(text_content ORDER BY us, id) FILTER (WHERE NOT mine) AS t, count(*) AS total_msgs FROM m WHERE NOT grouped GROUP BY chat_jid)
+SELECT contact, chat_jid, received_us, round(({AS_OF} - received_us) / 3600000000.0::DOUBLE, 3) AS hours_ago, substring(t, 1, 80) AS their_message, total_msgs FROM s
+WHERE received_us > coalesce(sent_us, 0) AND received_us < {AS_OF} - 172800000000 AND total_msgs >= 2 AND length(trim(coalesce(t, ''))) > 2
+AND NOT regexp_matches(trim(t), '{reports.EMOJI_ONLY}') AND NOT regexp_matches(lower(trim(regexp_replace(t, '{reports.EMOJI}', '', 'g'))), '{reports.CLOSING}')
+ORDER BY received_us DESC, chat_jid LIMIT 20""",
+)
+def _(spark, root):
+    return reports.unanswered(_messages(spark, root, "text_content", names=True), AS_OF)
+
+
+@query(
+    "qr3_stale",
+    f"""WITH {_M}, s AS (SELECT chat_jid, last(push_name ORDER BY us, id) AS contact, count(*) AS total_messages, max(us) AS last_us, CAST(sum(CASE WHEN mine THEN 1 ELSE 0 END) AS BIGINT) AS my_messages
+  FROM m WHERE NOT grouped GROUP BY chat_jid HAVING count(*) >= 5)
+SELECT contact, chat_jid, total_messages, my_messages, last_us, CAST(({AS_OF} - last_us) // 86400000000 AS BIGINT) AS days_inactive FROM s
+WHERE last_us < {AS_OF} - 2592000000000 ORDER BY total_messages DESC, chat_jid LIMIT 20""",
+)
+def _(spark, root):
+    return reports.stale(_messages(spark, root, names=True), AS_OF)
+
+
+@query(
+    "qr4_response_time",
+    f"""WITH {_M}, {_C}, r AS (SELECT a.chat_jid, a.us AS received_us, min(b.us) AS replied_us FROM m a JOIN m b ON a.chat_jid = b.chat_jid AND b.mine AND b.us > a.us AND b.us < a.us + 86400000000
+  WHERE NOT a.mine AND NOT a.grouped GROUP BY 1, 2)
+SELECT r.chat_jid, coalesce(c.push_name, c.full_name, r.chat_jid) AS contact, count(*) AS replies, round(avg((replied_us - received_us) / 60000000.0::DOUBLE), 1) AS avg_reply_minutes,
+round(median((replied_us - received_us) / 60000000.0::DOUBLE), 1) AS median_reply_minutes
+FROM r LEFT JOIN c ON r.chat_jid = c.jid GROUP BY r.chat_jid, c.push_name, c.full_name ORDER BY avg_reply_minutes, r.chat_jid LIMIT 20""",
+)
+def _(spark, root):
+    return reports.response_time(_messages(spark, root), _contacts(spark, root))
+
+
+@query(
+    "qr5_top_contacts",
+    f"""WITH {_M} SELECT chat_jid, grouped AS is_group, last(push_name ORDER BY us, id) AS contact_name, count(*) AS total_messages, CAST(sum(CASE WHEN mine THEN 1 ELSE 0 END) AS BIGINT) AS sent,
+CAST(sum(CASE WHEN NOT mine THEN 1 ELSE 0 END) AS BIGINT) AS received, min(us) AS first_us, max(us) AS last_us FROM m GROUP BY chat_jid, grouped ORDER BY total_messages DESC, chat_jid LIMIT 20""",
+)
+def _(spark, root):
+    return reports.top_contacts(_messages(spark, root, names=True))
+
+
+@query(
+    "qr6_heatmap",
+    f"WITH {_M} SELECT CASE sent_dow WHEN 0 THEN 'Sun' WHEN 1 THEN 'Mon' WHEN 2 THEN 'Tue' WHEN 3 THEN 'Wed' WHEN 4 THEN 'Thu' WHEN 5 THEN 'Fri' WHEN 6 THEN 'Sat' END AS day, sent_hour AS hour, count(*) AS messages FROM m GROUP BY sent_dow, sent_hour",
+)
+def _(spark, root):
+    return reports.heatmap(_messages(spark, root, "sent_dow", "sent_hour"))
+
+
+@query("qr7_text_search", f"WITH {_M} SELECT us, push_name, chat_jid, substring(text_content, 1, 120) AS message FROM m WHERE text_content ILIKE '%flat%' ORDER BY us DESC, id, chat_jid LIMIT 30")
+def _(spark, root):
+    return reports.search_text(_messages(spark, root, "text_content", names=True), "flat")
+
+
+@query(
+    "qr8_all_reports",
+    f"""WITH {_M}, d AS (SELECT chat_jid, grouped, count(*) AS n, max(us) AS last_us FROM m GROUP BY chat_jid, grouped)
+SELECT 'summary' AS report, count(*) AS n_rows FROM (SELECT 1)
+UNION ALL SELECT 'stale', least(20, count(*)) FROM d WHERE NOT grouped AND n >= 5 AND last_us < {AS_OF} - 2592000000000
+UNION ALL SELECT 'top_contacts', least(20, count(*)) FROM d""",
+)
+def _(spark, root):
+    made = reports.all_reports(_messages(spark, root, "text_content", names=True), AS_OF)
+    return reports.table_counts({k: made[k] for k in ("summary", "stale", "top_contacts")}).withColumnRenamed("table_name", "report")
+
+
+@query(
+    "qr9_table_counts",
+    "SELECT 'messages' AS table_name, count(*) AS n_rows FROM messages UNION ALL SELECT 'contacts', count(*) FROM contacts UNION ALL SELECT 'classifications', count(*) FROM classifications UNION ALL SELECT 'extracted_entities', count(*) FROM extracted_entities",
+)
+def _(spark, root):
+    t = reader(spark, root)
+    return reports.table_counts({n: t(n) for n in SCHEMAS})
+
+
+@query("qr10_ad_hoc_sql", "SELECT msg_type, count(*) AS n FROM messages WHERE is_group GROUP BY msg_type HAVING count(*) > 1")
+def _(spark, root):
+    return spark.sql("SELECT msg_type, count(*) AS n FROM {messages} WHERE is_group GROUP BY msg_type HAVING count(*) > :least", args={"least": 1}, messages=reader(spark, root)("messages"))
+
+
+# ------------------------------------------------------------ filters, joins, aggregates
+
+
+@query(
+    "pf1_composed_filter",
+    f"WITH {_M} SELECT id, chat_jid FROM m WHERE text_content ILIKE '%the%' AND text_content ILIKE '%gate%' AND us >= epoch_us(TIMESTAMPTZ '2026-03-10 00:00:00+00') AND us < epoch_us(TIMESTAMPTZ '2026-04-11 00:00:00+00')",
+)
+def _(spark, root):
+    wanted = filters.SearchFilter(keywords=("the", "gate"), after="2026-03-10", before="2026-04-10")
+    return reader(spark, root)("messages").where(wanted.predicate()).select("id", "chat_jid").distinct()
+
+
+@query(
+    "pf6_chat_resolver",
+    f"WITH {_C} SELECT jid FROM c WHERE CASE WHEN is_group THEN coalesce(group_name ILIKE '%a%', false) ELSE coalesce(push_name ILIKE '%a%', false) OR coalesce(full_name ILIKE '%a%', false) END",
+)
+def _(spark, root):
+    return filters.resolve_chats(_contacts(spark, root), "a")
+
+
+@query("pf7_non_blank", "SELECT count(*) AS n FROM messages WHERE text_content IS NOT NULL AND trim(text_content) <> ''")
+def _(spark, root):
+    return reader(spark, root)("messages").where(~blank(F.col("text_content"))).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "pf9_name_fallback",
+    f"WITH {_C} SELECT jid, coalesce(full_name, push_name, jid) AS shown, CASE WHEN regexp_matches(split_part(jid, '@', 1), '^[0-9]+$') THEN '+' || split_part(jid, '@', 1) ELSE '' END AS phone, push_name IS NULL OR push_name NOT LIKE '%@%' AS plain FROM c",
+)
+def _(spark, root):
+    c = _contacts(spark, root)
+    plain = F.coalesce(~F.col("push_name").like("%@%"), F.lit(True))
+    return c.select("jid", columns.first_filled(F.col("full_name"), F.col("push_name"), F.col("jid")).alias("shown"), columns.phone_of(F.col("jid")).alias("phone"), plain.alias("plain"))
+
+
+@query(
+    "j6_interval_join",
+    f"WITH {_M} SELECT a.chat_jid, count(*) AS pairs, CAST(sum(b.us - a.us) AS BIGINT) AS gap_us FROM m a JOIN m b ON a.chat_jid = b.chat_jid AND a.sender <> b.sender AND b.us BETWEEN a.us AND a.us + 300000000 WHERE a.grouped AND b.grouped GROUP BY a.chat_jid",
+)
+def _(spark, root):
+    m = _messages(spark, root).where("grouped")
+    right = m.select(F.col("chat_jid").alias("r_chat_jid"), F.col("sender").alias("r_sender"), F.col("us").alias("r_us"))
+    pairs = intervals.within(m.select("chat_jid", "sender", "us"), right, ["chat_jid"], 0, 5 * intervals.MINUTE).where("sender <> r_sender")
+    return pairs.groupBy("chat_jid").agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.col("r_us") - F.col("us")).alias("gap_us"))
+
+
+@query(
+    "j7_first_reply",
+    f"WITH {_M} SELECT a.chat_jid, a.us AS received_us, min(b.us) AS replied_us FROM m a JOIN m b ON a.chat_jid = b.chat_jid AND b.mine AND b.us > a.us AND b.us < a.us + 86400000000 WHERE NOT a.mine AND NOT a.grouped AND NOT b.grouped GROUP BY 1, 2",
+)
+def _(spark, root):
+    return intervals.replies(_messages(spark, root).where("not grouped"))
+
+
+@query(
+    "j9_either_end",
+    f"WITH {_M}, {_C}, {_P}, {_DM} SELECT p.source_id, coalesce(CAST(sum(message_count) AS BIGINT), 0) AS dm_volume FROM dm JOIN p ON dm.sender = p.source_id OR dm.receiver = p.source_id GROUP BY p.source_id",
+)
+def _(spark, root):
+    people = graph.persons(_contacts(spark, root))
+    ends = graph.messaged(_messages(spark, root), people).select(F.explode(F.array_distinct(F.array("sender", "receiver"))).alias("source_id"), "message_count")
+    return ends.groupBy("source_id").agg(F.sum("message_count").alias("dm_volume"))
+
+
+@query(
+    "j11_context_window",
+    f"""WITH {_M}, t AS (SELECT id, chat_jid, us, text_content AS x FROM m WHERE trim(coalesce(text_content, '')) <> '')
+SELECT a.id, a.chat_jid, coalesce((SELECT string_agg(x, chr(10) ORDER BY us, id) FROM (SELECT b.us, b.id, b.x FROM t b WHERE b.chat_jid = a.chat_jid AND b.us < a.us AND b.us >= a.us - 1800000000 ORDER BY b.us DESC, b.id DESC LIMIT 3)), '') AS before,
+coalesce((SELECT string_agg(x, chr(10) ORDER BY us, id) FROM (SELECT b.us, b.id, b.x FROM t b WHERE b.chat_jid = a.chat_jid AND b.us >= a.us AND b.us <= a.us + 1800000000 AND (b.id <> a.id OR b.us <> a.us) ORDER BY b.us, b.id LIMIT 3)), '') AS after
+FROM t a""",
+)
+def _(spark, root):
+    t = _messages(spark, root, "text_content").where(~blank(F.col("text_content"))).select("id", "chat_jid", "us", F.col("text_content").alias("text"))
+    return intervals.context_texts(t).select("id", "chat_jid", "before", "after")
+
+
+@query(
+    "f14_embedding_text",
+    f"""WITH {_M}, t AS (SELECT id, chat_jid, us, text_content AS x FROM m WHERE trim(coalesce(text_content, '')) <> ''),
+j AS (SELECT a.id, a.chat_jid, a.x, (SELECT string_agg(x, chr(10) ORDER BY us, id) FROM (SELECT b.us, b.id, b.x FROM t b WHERE b.chat_jid = a.chat_jid AND b.us < a.us AND b.us >= a.us - 1800000000 ORDER BY b.us DESC, b.id DESC LIMIT 3)) AS before,
+(SELECT string_agg(x, chr(10) ORDER BY us, id) FROM (SELECT b.us, b.id, b.x FROM t b WHERE b.chat_jid = a.chat_jid AND b.us >= a.us AND b.us <= a.us + 1800000000 AND (b.id <> a.id OR b.us <> a.us) ORDER BY b.us, b.id LIMIT 3)) AS after FROM t a)
+SELECT id, chat_jid, substring(concat_ws(chr(10) || '---' || chr(10), before, x, after), 1, 8000) AS embedding_text FROM j""",
+)
+def _(spark, root):
+    t = _messages(spark, root, "text_content").where(~blank(F.col("text_content"))).select("id", "chat_jid", "us", F.col("text_content").alias("text"))
+    return intervals.context_texts(t).select("id", "chat_jid", columns.assembled_text(F.col("before"), F.col("text"), F.col("after")).alias("embedding_text"))
+
+
+@query(
+    "a6_filtered_aggregates",
+    f"WITH {_M} SELECT sender, count(*) AS n, count(*) FILTER (WHERE grouped) AS in_groups, max(us) FILTER (WHERE NOT grouped) AS last_direct_us, last(msg_type ORDER BY us, id, chat_jid) AS last_type FROM m GROUP BY sender",
+)
+def _(spark, root):
+    m = _messages(spark, root, "msg_type")
+    return m.groupBy("sender").agg(F.count(F.lit(1)).alias("n"), F.count_if("grouped").alias("in_groups"), F.max(F.when(~F.col("grouped"), F.col("us"))).alias("last_direct_us"), F.max_by("msg_type", F.struct("us", "id", "chat_jid")).alias("last_type"))
+
+
+@query("a8_distinct_lists", f"WITH {_E} SELECT message_id, array_to_string(list_sort(list(DISTINCT entity_value)), '|') AS all_values, count(DISTINCT entity_type) AS n_types FROM e GROUP BY message_id HAVING count(*) >= 2")
+def _(spark, root):
+    e = _entities(spark, root)
+    return e.groupBy("message_id").agg(F.array_join(F.array_sort(F.collect_set("entity_value")), "|").alias("all_values"), F.count_distinct("entity_type").alias("n_types"), F.count(F.lit(1)).alias("n")).where("n >= 2").drop("n")
+
+
+@query("a9_string_agg", f"WITH {_E} SELECT message_id, string_agg(entity_value, ' / ' ORDER BY entity_type, entity_value) AS joined FROM e GROUP BY message_id")
+def _(spark, root):
+    item = F.struct("entity_type", "entity_value")
+    return _entities(spark, root).groupBy("message_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["entity_value"]), " / ").alias("joined"))
+
+
+@query("w3_top_n_per_group", f"WITH {_M}, r AS (SELECT sender, chat_jid, count(*) AS n FROM m GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY chat_jid ORDER BY n DESC, sender) AS place FROM r) SELECT chat_jid, sender, n, place FROM k WHERE place <= 5")
+def _(spark, root):
+    counted = _messages(spark, root).groupBy("chat_jid", "sender").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("chat_jid").orderBy(F.col("n").desc(), "sender"))
+    return counted.withColumn("place", place.cast("bigint")).where("place <= 5")
+
+
+@query("f9_sent_parts", "SELECT DISTINCT id, chat_jid, CAST(timezone('UTC', timestamp) AS DATE) AS sent_date, CAST(extract(hour FROM timezone('UTC', timestamp)) AS SMALLINT) AS sent_hour, CAST(extract(dow FROM timezone('UTC', timestamp)) AS SMALLINT) AS sent_dow FROM messages")
+def _(spark, root):
+    m = reader(spark, root)("messages")
+    return m.select("id", "chat_jid", *(c.alias(n) for n, c in columns.sent_parts(F.col("timestamp")).items())).distinct()
+
+
+# ------------------------------------------------------------ graph
+
+
+def _part(name: str, cols: list[str], sql: str, label: str) -> None:
+    query(label, sql)(lambda spark, root: graph_parts(spark, root)[name].select(*cols))
+
+
+_part("persons", ["source_id", "display_name", "push_name", "full_name"], f"WITH {_C}, {_P} SELECT * FROM p", "g1_persons")
+_part("groups", ["group_jid", "group_name", "member_count"], f"WITH {_M}, {_C} SELECT jid AS group_jid, coalesce(group_name, jid) AS group_name, (SELECT count(DISTINCT sender) FROM m WHERE m.chat_jid = c.jid) AS member_count FROM c WHERE is_group", "g2_groups")
+_part("topics", ["topic_name", "source", "message_count"], f"WITH {_E} SELECT entity_value AS topic_name, entity_type AS source, count(*) AS message_count FROM e WHERE entity_type IN ('tech', 'org', 'event') GROUP BY 1, 2 HAVING count(*) >= 3", "g3_topics")
+_part("entities", ["entity_type", "entity_value", "mention_count"], f"WITH {_E} SELECT entity_type, entity_value, count(*) AS mention_count FROM e GROUP BY 1, 2", "g4_entities")
+_part("messaged", ["sender", "receiver", "message_count", "first_us", "last_us"], f"WITH {_M}, {_C}, {_P}, {_DM} SELECT * FROM dm", "g5_messaged")
+_part("member_of", ["person", "group_jid", "message_count", "first_us", "last_us"], f"WITH {_M}, {_C}, {_P}, {_MO} SELECT * FROM mo", "g6_member_of")
+_part("discusses", ["person", "topic_name", "source", "mention_count"], f"WITH {_GRAPH}, t AS (SELECT entity_value, entity_type FROM e WHERE entity_type IN ('tech', 'org', 'event') GROUP BY 1, 2 HAVING count(*) >= 3) SELECT person, entity_value AS topic_name, entity_type AS source, mention_count FROM me JOIN t USING (entity_type, entity_value)", "g7_discusses_topic")
+_part("co_occurs", ["person1", "person2", "shared_groups"], f"WITH {_M}, {_C}, {_P}, {_MO}, {_CO} SELECT * FROM co", "g8_co_occurs")
+_part("conversed", ["person1", "person2", "group_jid", "exchange_count", "first_us", "last_us"], f"WITH {_M}, {_C}, {_P}, {_CV} SELECT * FROM cv", "g9_conversed")
+_part("mentions", ["person", "entity_type", "entity_value", "mention_count"], f"WITH {_M}, {_C}, {_E}, {_P}, {_ME} SELECT * FROM me", "g10_mentions")
+_part("digraph", ["src", "dst", "weight"], f"WITH {_GRAPH}, {_W} SELECT * FROM w", "g13_weighted_digraph")
+
+
+@query(
+    "g11_edge_counts",
+    f"WITH {_GRAPH} SELECT 'Messaged' AS edge, count(*) AS n_rows FROM dm UNION ALL SELECT 'MemberOf', count(*) FROM mo UNION ALL SELECT 'Conversed', count(*) FROM cv UNION ALL SELECT 'Mentions', count(*) FROM me UNION ALL SELECT 'Person', count(*) FROM p",
+)
+def _(spark, root):
+    parts = graph_parts(spark, root)
+    return graph.graph_counts({"Messaged": parts["messaged"], "MemberOf": parts["member_of"], "Conversed": parts["conversed"], "Mentions": parts["mentions"], "Person": parts["persons"]}).withColumnRenamed("table_name", "edge")
+
+
+@query("g12_graph_declaration", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{label}', '{rel}')" for k, d in graph.GRAPH.items() for label, rel in d.items()) + ") AS v(part, label, relation)")
+def _(spark, root):
+    return spark.createDataFrame([(k, label, rel) for k, d in graph.GRAPH.items() for label, rel in d.items()], "part string, label string, relation string")
+
+
+_RANK_STEPS = 4
+
+
+def _rank_sql() -> str:
+    seed = "s AS (SELECT person AS node, count(*)::DOUBLE / sum(count(*)) OVER () AS p FROM mo GROUP BY person ORDER BY count(*) DESC, person LIMIT 5)"
+    seed = "z AS (SELECT person AS node, count(*) AS n FROM mo GROUP BY person ORDER BY n DESC, person LIMIT 5), s AS (SELECT node, n::DOUBLE / sum(n) OVER () AS p FROM z)"
+    text = f"WITH {_GRAPH}, {_W}, {seed}, v AS (SELECT src AS node FROM w UNION SELECT dst FROM w), o AS (SELECT src, sum(weight) AS total FROM w GROUP BY src), x0 AS (SELECT v.node, coalesce(s.p, 0) AS x FROM v LEFT JOIN s ON v.node = s.node)"
+    for i in range(_RANK_STEPS):
+        text += (
+            f", x{i + 1} AS (SELECT v.node, 0.85::DOUBLE * (coalesce(f.flow, 0) + (SELECT coalesce(sum(x), 0) FROM x{i} WHERE node NOT IN (SELECT src FROM o)) * coalesce(s.p, 0)) + 0.15::DOUBLE * coalesce(s.p, 0) AS x "
+            f"FROM v LEFT JOIN s ON v.node = s.node LEFT JOIN (SELECT w.dst, sum(y.x * w.weight / o.total) AS flow FROM x{i} y JOIN w ON y.node = w.src JOIN o ON o.src = w.src GROUP BY w.dst) f ON f.dst = v.node)"
+        )
+    return text + f" SELECT node, round(x, 8) AS score FROM x{_RANK_STEPS}"
+
+
+@query("g14_personalized_rank", _rank_sql())
+def _(spark, root):
+    from threadmill.session import cut_lineage
+
+    parts = graph_parts(spark, root)
+    edges = cut_lineage(parts["digraph"])
+    seeds = parts["member_of"].groupBy(F.col("person").alias("node")).agg(F.count(F.lit(1)).alias("weight")).orderBy(F.col("weight").desc(), "node").limit(5)
+    return graph.personalized_rank(edges, seeds, steps=_RANK_STEPS, tolerance=0.0).select("node", F.round("score", 8).alias("score"))
+
+
+@query("g15_flow_paths")
+def _(spark, root):
+    from threadmill.session import cut_lineage
+
+    parts = graph_parts(spark, root)
+    edges = cut_lineage(parts["digraph"])
+    top = parts["member_of"].groupBy("person").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "person").limit(6).collect()  # six seeds
+    return graph.flow_paths(edges, [r["person"] for r in top])
+
+
+def _undirected(spark, root):
+    parts = graph_parts(spark, root)
+    return graph.undirected(parts["messaged"], parts["conversed"], parts["co_occurs"])
+
+
+@query(
+    "g16_undirected_graph",
+    f"""WITH {_GRAPH}, {_CO} SELECT src, dst, sum(weight) AS weight FROM (SELECT least(sender, receiver) AS src, greatest(sender, receiver) AS dst, message_count * 3.0::DOUBLE AS weight FROM dm
+UNION ALL SELECT person1, person2, exchange_count * 5.0::DOUBLE FROM cv UNION ALL SELECT person1, person2, shared_groups::DOUBLE FROM co) WHERE src <> dst GROUP BY 1, 2""",
+)
+def _(spark, root):
+    return _undirected(spark, root)
+
+
+@query("g16_communities")
+def _(spark, root):
+    return graph.communities(_undirected(spark, root))
+
+
+@query("g17_community_cards")
+def _(spark, root):
+    parts = graph_parts(spark, root)
+    member = graph.communities(graph.undirected(parts["messaged"], parts["conversed"], parts["co_occurs"]))
+    return graph.community_cards(member, parts["persons"], parts["member_of"], parts["groups"], parts["mentions"])
+
+
+# ------------------------------------------------------------ entities
+
+
+@query(
+    "e1_unprocessed",
+    "SELECT DISTINCT id, chat_jid FROM messages WHERE is_group AND text_content IS NOT NULL AND trim(text_content) <> '' AND id NOT IN (SELECT message_id FROM extracted_entities WHERE message_id IS NOT NULL)",
+)
+def _(spark, root):
+    t = reader(spark, root)
+    return entities.unprocessed(t("messages"), t("extracted_entities")).select("id", "chat_jid").distinct()
+
+
+@query(
+    "e2_pattern_entities",
+    r"""WITH t AS (SELECT DISTINCT id, chat_jid, text_content AS x FROM messages WHERE text_content IS NOT NULL),
+u AS (SELECT id, chat_jid, 'url' AS k, regexp_replace(v, '[.,;:!?)''"]+$', '') AS v FROM (SELECT id, chat_jid, unnest(regexp_extract_all(x, '(?i)(?:https?://[^\s]+|www\.[^\s]+)')) AS v FROM t)
+UNION SELECT id, chat_jid, 'url', unnest(regexp_extract_all(x, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b')) FROM t
+UNION SELECT id, chat_jid, 'person', '@' || trim(v) FROM (SELECT id, chat_jid, unnest(regexp_extract_all(x, '@(\+?[0-9][0-9\s\-]{5,}[0-9]|[A-Za-z0-9_.]+)', 1)) AS v FROM t) WHERE length(trim(v)) > 2)
+SELECT DISTINCT id AS message_id, chat_jid, k AS entity_type, v AS entity_value FROM u""",
+)
+def _(spark, root):
+    return entities.by_pattern(reader(spark, root)("messages"))
+
+
+@query(
+    "e4_normalised",
+    f"""WITH {_E}, n AS (SELECT message_id, entity_type, entity_value, lower(trim(entity_value)) AS low FROM e)
+SELECT message_id, CASE WHEN entity_type = 'url' THEN entity_type ELSE coalesce(CASE low {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in entities.TYPES.items())} END, entity_type) END AS entity_type,
+CASE WHEN entity_type = 'url' THEN entity_value ELSE coalesce(CASE low {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in entities.ALIASES.items())} END, trim(entity_value)) END AS entity_value
+FROM n WHERE entity_type = 'url' OR (low NOT IN ({", ".join(f"'{w}'" for w in sorted(entities.STOP))}) AND length(low) >= 2 AND NOT starts_with(low, 'http') AND low NOT LIKE '%@%' AND NOT regexp_matches(low, '^[0-9]+$'))""",
+)
+def _(spark, root):
+    return entities.normalised(_entities(spark, root)).drop("chat_jid")
+
+
+@query("e6_merge_plan")
+def _(spark, root):
+    return entities.merged(_entities(spark, root))
+
+
+@query("e7_entity_statistics", f"WITH {_E} SELECT entity_type, count(*) AS mentions, count(DISTINCT entity_value) AS unique_values FROM e GROUP BY entity_type")
+def _(spark, root):
+    return entities.statistics(_entities(spark, root))
+
+
+# ------------------------------------------------------------ retrieval
+
+_QUERY = "meet at the north gate"
+_BM25 = """d AS (SELECT id, chat_jid, list_filter(string_split_regex(lower(text_content), '[^a-z]+'), lambda t: t <> '') AS terms FROM m WHERE text_content IS NOT NULL),
+g AS (SELECT count(*) AS n, avg(len(terms)) AS mean_length FROM d),
+tf AS (SELECT id, chat_jid, term, count(*) AS tf, any_value(l) AS l FROM (SELECT id, chat_jid, len(terms) AS l, unnest(terms) AS term FROM d) WHERE term IN ('meet', 'at', 'the', 'north', 'gate') GROUP BY 1, 2, 3),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+b AS (SELECT id, chat_jid, sum(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / mean_length))) AS score FROM tf JOIN df USING (term) CROSS JOIN g GROUP BY 1, 2)"""
+
+
+@query("r1_bm25", f"WITH {_M}, {_BM25} SELECT id, chat_jid, round(score, 6) AS score FROM b")
+def _(spark, root):
+    m = _messages(spark, root, "text_content")
+    index = retrieval.TextIndex.build(m)
+    return index.search(_QUERY, 2_000_000_000).select("id", "chat_jid", F.round("score", 6).alias("score"))
+
+
+def _query_vectors(spark, root) -> list[list[float]]:
+    rows = reader(spark, root)("embeddings").where("vec_id < 3").orderBy("vec_id").collect()  # three query vectors
+    return [list(map(float, r["embedding"])) for r in rows]
+
+
+_SIM = """v AS (SELECT id, chat_jid, any_value(embedding) AS x FROM messages WHERE len(embedding) = 64 GROUP BY id, chat_jid, embedding),
+q AS (SELECT embedding AS y FROM embeddings WHERE vec_id < 3),
+s AS (SELECT id, chat_jid, max(list_dot_product(x::DOUBLE[], y::DOUBLE[]) / (sqrt(list_dot_product(x::DOUBLE[], x::DOUBLE[])) * sqrt(list_dot_product(y::DOUBLE[], y::DOUBLE[])))) AS similarity
+  FROM v CROSS JOIN q WHERE list_dot_product(x::DOUBLE[], x::DOUBLE[]) > 0 GROUP BY 1, 2)"""
+
+
+@query("r2_similarity_top", f"WITH {_SIM}, k AS (SELECT id, chat_jid, similarity FROM s WHERE similarity IS NOT NULL AND NOT isnan(similarity) ORDER BY similarity DESC, id, chat_jid LIMIT 50) SELECT id, chat_jid, round(similarity, 8) AS similarity FROM k")
+def _(spark, root):
+    m = reader(spark, root)("messages").select("id", "chat_jid", "embedding")
+    return retrieval.similar(m, _query_vectors(spark, root), 50).select("id", "chat_jid", F.round("similarity", 8).alias("similarity"))
+
+
+@query(
+    "r3_rank_fusion",
+    f"""WITH {_M}, {_BM25}, {_SIM}, one AS (SELECT id, chat_jid, row_number() OVER (ORDER BY score DESC, id, chat_jid) AS r, NULL::DOUBLE AS similarity FROM b),
+two AS (SELECT id, chat_jid, row_number() OVER (ORDER BY similarity DESC, id, chat_jid) AS r, similarity FROM s WHERE similarity IS NOT NULL AND NOT isnan(similarity))
+SELECT id, chat_jid, round(sum(1.0::DOUBLE / (60 + r)), 8) AS rrf_score, round(coalesce(max(similarity), 0), 8) AS similarity FROM (SELECT * FROM one WHERE r <= 45 UNION ALL SELECT * FROM two WHERE r <= 45) GROUP BY 1, 2""",
+)
+def _(spark, root):
+    m = _messages(spark, root, "text_content")
+    lists = [retrieval.TextIndex.build(m).search(_QUERY, 45), retrieval.similar(reader(spark, root)("messages"), _query_vectors(spark, root), 45)]
+    return retrieval.fuse(lists).select("id", "chat_jid", F.round("rrf_score", 8).alias("rrf_score"), F.round("similarity", 8).alias("similarity"))
+
+
+@query(
+    "r8_enriched_names",
+    f"""WITH {_M}, {_C}, {_P}, {_DM}, vol AS (SELECT source_id, CAST(sum(message_count) AS BIGINT) AS n FROM dm JOIN p ON dm.sender = p.source_id OR dm.receiver = p.source_id GROUP BY 1)
+SELECT m.id, m.chat_jid, CASE WHEN g.jid IS NULL THEN m.chat_jid WHEN g.is_group THEN coalesce(g.group_name, g.push_name, g.jid) ELSE 'DM' END AS group_name,
+coalesce(h.full_name, h.push_name, h.jid, m.push_name, '?') AS display_name, coalesce(vol.n, 0) AS dm_volume
+FROM m LEFT JOIN c g ON g.jid = m.chat_jid LEFT JOIN c h ON h.jid = m.sender LEFT JOIN vol ON vol.source_id = m.sender""",
+)
+def _(spark, root):
+    parts = graph_parts(spark, root)
+    return retrieval.enrich(_messages(spark, root, names=True), _contacts(spark, root), parts, "none").select("id", "chat_jid", "group_name", "display_name", "dm_volume")
+
+
+@query(
+    "r9_thread_context",
+    f"""WITH {_M}, x AS (SELECT id, chat_jid, us FROM m WHERE text_content ILIKE '%north gate%')
+SELECT x.id, x.chat_jid, least(10, count(*)) AS n_texts, round(least(1.0::DOUBLE, least(10, count(*)) / 8.0::DOUBLE), 6) AS conversation_boost
+FROM x JOIN m ON m.chat_jid = x.chat_jid AND m.us BETWEEN x.us - 3600000000 AND x.us + 3600000000 AND m.text_content IS NOT NULL GROUP BY 1, 2""",
+)
+def _(spark, root):
+    m = _messages(spark, root, "text_content", names=True)
+    found = retrieval.thread_context(m.where(F.col("text_content").ilike("%north gate%")), m)
+    return found.select("id", "chat_jid", F.size("thread").cast("bigint").alias("n_texts"), F.round("conversation_boost", 6).alias("conversation_boost"))
+
+
+def _search(spark, root):
+    from threadmill.session import cut_lineage
+
+    m = cut_lineage(reader(spark, root)("messages").where("embedding is not null").select("id", "chat_jid", F.slice("embedding", 1, 4096).alias("embedding")).dropDuplicates(["id", "chat_jid"]))
+    full = _messages(spark, root, "text_content", names=True).join(m, ["id", "chat_jid"], "left")
+    parts = graph_parts(spark, root)
+    parts["digraph"] = cut_lineage(parts["digraph"])
+    return retrieval.run_search(_QUERY, _query_vectors(spark, root), full, _contacts(spark, root), parts, retrieval.TextIndex.build(full), steps=6), parts
+
+
+@query("r10_people")
+def _(spark, root):
+    found, _ = _search(spark, root)
+    return found["people"].select("sender", "display_name", "phone", F.round("score", 6).alias("score"), "message_count", "dm_volume")
+
+
+@query("r11_connections")
+def _(spark, root):
+    found, parts = _search(spark, root)
+    return retrieval.connections(found["people"], parts["conversed"], "155599999999@s.whatsapp.net")
+
+
+@query("r13_search_json")
+def _(spark, root):
+    found, _ = _search(spark, root)
+    return retrieval.as_json(found["results"], found["people"])
+
+
+@query(
+    "r14_neighbour_expansion",
+    f"""WITH {_GRAPH}, z AS (SELECT person AS node, count(*) AS n FROM mo GROUP BY person ORDER BY n DESC, person LIMIT 5),
+x AS (SELECT sender AS src, receiver AS dst, message_count::DOUBLE AS w FROM dm UNION ALL SELECT person1, person2, exchange_count::DOUBLE FROM cv UNION ALL SELECT person2, person1, exchange_count::DOUBLE FROM cv)
+SELECT dst AS node, sum(w) AS weight FROM x WHERE src IN (SELECT node FROM z) GROUP BY dst ORDER BY weight DESC, node LIMIT 30""",
+)
+def _(spark, root):
+    parts = graph_parts(spark, root)
+    seeds = parts["member_of"].groupBy(F.col("person").alias("node")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "node").limit(5)
+    talk = parts["conversed"]
+    edges = [
+        parts["messaged"].select(F.col("sender").alias("src"), F.col("receiver").alias("dst"), F.col("message_count").cast("double").alias("weight")),
+        talk.select(F.col("person1").alias("src"), F.col("person2").alias("dst"), F.col("exchange_count").cast("double").alias("weight")),
+        talk.select(F.col("person2").alias("src"), F.col("person1").alias("dst"), F.col("exchange_count").cast("double").alias("weight")),
+    ]
+    return retrieval.neighbours(edges, seeds)
+
+
+@query("st5_high_water", "SELECT max(epoch_us(timestamp)) AS high_water_us FROM messages")
+def _(spark, root):
+    return reader(spark, root)("messages").agg(F.max(micros(F.col("timestamp"))).alias("high_water_us"))
