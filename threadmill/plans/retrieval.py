@@ -65,9 +65,10 @@ class TextIndex:
 
 
 def with_rank(scored: DataFrame, score: str, limit: int) -> DataFrame:
-    """The best rows with ``rank`` from 0; equal scores are ordered by id and chat."""
-    best = scored.orderBy(F.col(score).desc(), "id", "chat_jid").limit(limit)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.col(score).desc(), "id", "chat_jid")) - 1)
+    """The best rows with ``rank`` from 0; scores equal to nine digits are ordered by id and chat."""
+    order = [F.round(score, 9).desc(), F.col("id"), F.col("chat_jid")]
+    best = scored.orderBy(*order).limit(limit)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)) - 1)
 
 
 def similar(messages: DataFrame, vectors: Sequence[Sequence[float]], limit: int) -> DataFrame:

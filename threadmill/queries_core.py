@@ -571,7 +571,7 @@ s AS (SELECT id, chat_jid, max(list_dot_product(x::DOUBLE[], y::DOUBLE[]) / (sqr
   FROM v CROSS JOIN q WHERE list_dot_product(x::DOUBLE[], x::DOUBLE[]) > 0 GROUP BY 1, 2)"""
 
 
-@query("r2_similarity_top", f"WITH {_SIM}, k AS (SELECT id, chat_jid, similarity FROM s WHERE similarity IS NOT NULL AND NOT isnan(similarity) ORDER BY similarity DESC, id, chat_jid LIMIT 50) SELECT id, chat_jid, round(similarity, 8) AS similarity FROM k")
+@query("r2_similarity_top", f"WITH {_SIM}, k AS (SELECT id, chat_jid, similarity FROM s WHERE similarity IS NOT NULL AND NOT isnan(similarity) ORDER BY round(similarity, 9) DESC, id, chat_jid LIMIT 50) SELECT id, chat_jid, round(similarity, 8) AS similarity FROM k")
 def _(spark, root):
     m = reader(spark, root)("messages").select("id", "chat_jid", "embedding")
     return retrieval.similar(m, _query_vectors(spark, root), 50).select("id", "chat_jid", F.round("similarity", 8).alias("similarity"))
@@ -579,8 +579,8 @@ def _(spark, root):
 
 @query(
     "r3_rank_fusion",
-    f"""WITH {_M}, {_BM25}, {_SIM}, one AS (SELECT id, chat_jid, row_number() OVER (ORDER BY score DESC, id, chat_jid) AS r, NULL::DOUBLE AS similarity FROM b),
-two AS (SELECT id, chat_jid, row_number() OVER (ORDER BY similarity DESC, id, chat_jid) AS r, similarity FROM s WHERE similarity IS NOT NULL AND NOT isnan(similarity))
+    f"""WITH {_M}, {_BM25}, {_SIM}, one AS (SELECT id, chat_jid, row_number() OVER (ORDER BY round(score, 9) DESC, id, chat_jid) AS r, NULL::DOUBLE AS similarity FROM b),
+two AS (SELECT id, chat_jid, row_number() OVER (ORDER BY round(similarity, 9) DESC, id, chat_jid) AS r, similarity FROM s WHERE similarity IS NOT NULL AND NOT isnan(similarity))
 SELECT id, chat_jid, round(sum(1.0::DOUBLE / (60 + r)), 8) AS rrf_score, round(coalesce(max(similarity), 0), 8) AS similarity FROM (SELECT * FROM one WHERE r <= 45 UNION ALL SELECT * FROM two WHERE r <= 45) GROUP BY 1, 2""",
 )
 def _(spark, root):
