@@ -61,7 +61,7 @@ def co_occurs(members: DataFrame) -> DataFrame:
     """``person1, person2, shared_groups``, person1 < person2.
 
     The pairs of a group are what is asked for, so a group of n members gives
-    n (n - 1) / 2 of them; equal sets of groups are paired once.
+    n (n - 1) / 2 of them.
     """
     one = members.select("group_jid", F.col("person").alias("person1"))
     two = members.select("group_jid", F.col("person").alias("person2"))
@@ -212,21 +212,10 @@ def flow_paths(edges: DataFrame, seeds: Iterable[str], alpha: float = 0.7, theta
     return scored.withColumn("hops", F.size("path") - 1).orderBy(F.col("score").desc(), "source", "target").limit(limit)
 
 
-def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 12) -> DataFrame:
-    """``node, community`` by local moving for modularity over undirected edges (src < dst).
-
-    All nodes of one half move at once to the neighbouring community of the
-    largest gain, then those of the other half, so the result is the same every
-    time.  Communities that fall apart into unconnected pieces are split at the
-    end.  The name of a community is its smallest member; loops are ignored.
-    """
-    both = edges.where("src <> dst").select("src", "dst", "weight").unionByName(edges.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    both = cut_lineage(both.groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
-    total = both.agg(F.sum("weight")).first()[0]
-    if not total:
-        return edges.limit(0).select(F.col("src").alias("node"), F.col("src").alias("community"))
-    degree = cut_lineage(both.groupBy("src").agg(F.sum("weight").alias("k")))
-    state = cut_lineage(degree.select(F.col("src").alias("node"), "k", F.col("src").alias("community")))
+def _moved(both: DataFrame, mass_of: DataFrame, total: float, resolution: float, rounds: int) -> DataFrame:
+    """``node, k, community`` after moving nodes to the neighbouring community of the largest gain, half of them a turn."""
+    state = cut_lineage(mass_of.select("node", "k", F.col("node").alias("community")))
+    idle = 0
     for turn in range(rounds):
         mass = state.groupBy("community").agg(F.sum("k").alias("mass"))
         links = both.join(state.select(F.col("node").alias("dst"), "community"), "dst").groupBy("src", "community").agg(F.sum("weight").alias("inside"))
@@ -238,12 +227,42 @@ def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 12) ->
         best = offers.groupBy("src").agg(F.max_by("community", F.struct(F.round(gain, 9), F.col("community") == F.col("own"), "community")).alias("better"))
         moves = F.pmod(F.xxhash64("node"), F.lit(2)) == turn % 2
         fresh = cut_lineage(state.join(best.withColumnRenamed("src", "node"), "node").select("node", "k", F.col("community").alias("before"), F.when(moves, F.col("better")).otherwise(F.col("community")).alias("community")))
-        changed = fresh.where("before <> community").count()
+        idle = 0 if fresh.where("before <> community").count() else idle + 1
         state = fresh.select("node", "k", "community")
-        if not changed and turn:
+        if idle == 2:
+            break
+    return state
+
+
+def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 10, levels: int = 3) -> DataFrame:
+    """``node, community`` by local moving for modularity over undirected edges (src < dst).
+
+    All nodes of one half move at once to the neighbouring community of the
+    largest gain, then those of the other half, so the result is the same every
+    time; then the communities themselves are moved as nodes, ``levels`` times
+    at most.  Communities that fall apart into unconnected pieces are split at
+    the end.  The name of a community is its smallest member; loops are ignored.
+    """
+    both = edges.where("src <> dst").select("src", "dst", "weight").unionByName(edges.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    both = cut_lineage(both.groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
+    total = both.agg(F.sum("weight")).first()[0]
+    if not total:
+        return edges.limit(0).select(F.col("src").alias("node"), F.col("src").alias("community"))
+    mass_of = cut_lineage(both.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k")))
+    member = mass_of.select("node", F.col("node").alias("community"))
+    links = both
+    for _ in range(levels):
+        state = _moved(links, mass_of, total, resolution, rounds)
+        fewer = state.select("community").distinct().count()
+        if fewer == state.count():
             break
-    joined = both.join(state.select(F.col("node").alias("src"), F.col("community").alias("a")), "src").join(state.select(F.col("node").alias("dst"), F.col("community").alias("b")), "dst").where("a = b")
-    return components(state.select("node"), joined.select("src", "dst")).withColumnRenamed("component", "community")
+        step = state.select(F.col("node").alias("community"), F.col("community").alias("upper"))
+        member = cut_lineage(member.join(step, "community").select("node", F.col("upper").alias("community")))
+        mass_of = cut_lineage(state.groupBy(F.col("community").alias("node")).agg(F.sum("k").alias("k")))
+        up = links.join(step.withColumnRenamed("community", "src").withColumnRenamed("upper", "a"), "src").join(step.withColumnRenamed("community", "dst").withColumnRenamed("upper", "b"), "dst")
+        links = cut_lineage(up.where("a <> b").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("weight").alias("weight")))
+    joined = both.join(member.select(F.col("node").alias("src"), F.col("community").alias("a")), "src").join(member.select(F.col("node").alias("dst"), F.col("community").alias("b")), "dst").where("a = b")
+    return components(member.select("node"), joined.select("src", "dst")).withColumnRenamed("component", "community")
 
 
 def components(nodes: DataFrame, links: DataFrame, rounds: int = 60) -> DataFrame:
