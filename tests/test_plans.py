@@ -104,3 +104,24 @@ def test_tagger_and_patterns(spark):
     assert got == {("url", "https://a.example/x"), ("url", "a@b.example"), ("person", "@b.example"), ("person", "@ops")}
     tagged = entities.by_tagger(df, lambda texts: [[("org", "Acme"), ("org", "Acme")] for _ in texts]).collect()
     assert [tuple(r) for r in tagged] == [("m", "c", "org", "Acme")]
+
+
+def test_the_converged_rank_reaches_distant_nodes(spark, monkeypatch):
+    import numpy as np
+
+    from threadmill import queries_core
+
+    links = [(i, i + 1, 1.0 + i) for i in range(9)] + [(i, 0, 0.5) for i in range(1, 9)]
+    parts = {
+        "digraph": spark.createDataFrame([(str(a), str(b), w) for a, b, w in links], "src string, dst string, weight double"),
+        "member_of": spark.createDataFrame([("0", "g"), ("0", "h"), ("1", "g")], "person string, group_jid string"),
+    }
+    monkeypatch.setattr(queries_core, "graph_parts", lambda spark, root: parts)
+    got = {int(r["node"]): r["score"] for r in queries_core.QUERIES["g14_converged_rank"](spark, "").collect()}
+    move, p = np.zeros((10, 10)), np.array([2 / 3, 1 / 3] + [0.0] * 8)
+    for a, b, w in links:
+        move[b, a] = w
+    move[:, :9] /= move[:, :9].sum(axis=0)
+    move[:, 9] = p  # no way out of the last node
+    want = np.linalg.solve(np.eye(10) - 0.85 * move, 0.15 * p)
+    assert all(math.isclose(got[i], want[i], abs_tol=1e-6) for i in range(10)) and got[9] > 0.01

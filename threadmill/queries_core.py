@@ -462,6 +462,16 @@ def _(spark, root):
     return graph.personalized_rank(edges, seeds, steps=_RANK_STEPS, tolerance=0.0).select("node", F.round("score", 8).alias("score"))
 
 
+@query("g14_converged_rank")
+def _(spark, root):
+    """The rank run to its tolerance; g14_personalized_rank stops where its SQL does."""
+    from threadmill.session import cut_lineage
+
+    parts = graph_parts(spark, root)
+    seeds = parts["member_of"].groupBy(F.col("person").alias("node")).agg(F.count(F.lit(1)).alias("weight")).orderBy(F.col("weight").desc(), "node").limit(5)
+    return graph.personalized_rank(cut_lineage(parts["digraph"]), seeds, steps=100).select("node", F.round("score", 8).alias("score"))
+
+
 @query("g15_flow_paths")
 def _(spark, root):
     from threadmill.session import cut_lineage
