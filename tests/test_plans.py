@@ -125,3 +125,25 @@ def test_the_converged_rank_reaches_distant_nodes(spark, monkeypatch):
     move[:, 9] = p  # no way out of the last node
     want = np.linalg.solve(np.eye(10) - 0.85 * move, 0.15 * p)
     assert all(math.isclose(got[i], want[i], abs_tol=1e-6) for i in range(10)) and got[9] > 0.01
+
+
+def test_the_search_ranks_to_tolerance(spark, monkeypatch):
+    import inspect
+
+    from threadmill import queries_core
+
+    class Reached(Exception):
+        pass
+
+    def search(*args, **given):
+        bound = inspect.signature(run_search).bind(*args, **given)
+        bound.apply_defaults()
+        raise Reached(bound.arguments["steps"])
+
+    run_search = retrieval.run_search
+    monkeypatch.setattr(retrieval, "run_search", search)
+    monkeypatch.setattr(queries_core, "graph_parts", lambda spark, root: {"digraph": spark.createDataFrame([("a", "b", 1.0)], "src string, dst string, weight double")})
+    for name in ("r10_people", "r11_connections", "r13_search_json"):
+        with pytest.raises(Reached) as steps:
+            queries_core.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert steps.value.args[0] >= 100

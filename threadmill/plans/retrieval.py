@@ -232,7 +232,7 @@ def run_search(
     depth: str = "balanced",
     wanted: SearchFilter = SearchFilter(),
     owner_name: str = "",
-    steps: int = 20,
+    steps: int = 100,
 ) -> dict[str, DataFrame | None]:
     """The whole search: ``results``, ``people`` and, with the graph, ``paths``.
 

@@ -630,7 +630,7 @@ def _search(spark, root):
     full = _messages(spark, root, "text_content", names=True).join(m, ["id", "chat_jid"], "left")
     parts = graph_parts(spark, root)
     parts["digraph"] = cut_lineage(parts["digraph"])
-    return retrieval.run_search(_QUERY, _query_vectors(spark, root), full, _contacts(spark, root), parts, retrieval.TextIndex.build(full), steps=6), parts
+    return retrieval.run_search(_QUERY, _query_vectors(spark, root), full, _contacts(spark, root), parts, retrieval.TextIndex.build(full)), parts
 
 
 @query("r10_people")
