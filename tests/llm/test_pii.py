@@ -57,3 +57,19 @@ def test_whole_operator_and_placeholders(spark):
     assert clean["m0-0"] == "call [PHONE] after six" and clean["m4-0"] == "met [NAME]" and clean["m5-0"] == filler[0] and clean["m11-0"] is None
     assert redact(messages, found).count() == len(rows)
     assert find_pii(messages.limit(0), contacts.limit(0), entities, nick).count() == 0
+
+
+def test_names_in_push_names_are_redacted_but_not_counted(spark, monkeypatch):
+    from threadmill.llm import queries
+
+    rows = [(f"m{n}", "c", "met Margaret Okaforlund" if n < 20 else "see you", "Margaret Okaforlund" if n % 2 else "a.b@x.example") for n in range(40)]
+    messages = spark.createDataFrame(rows, "id string, chat_jid string, text_content string, push_name string")
+    contacts = spark.createDataFrame([("1@s", "Peggy", "Margaret Okaforlund", None, False, None)], "jid string, push_name string, full_name string, business_name string, is_group boolean, group_name string")
+    entities = spark.createDataFrame([], "message_id string, chat_jid string, entity_type string, entity_value string")
+    nick = spark.createDataFrame([("Margaret", "Peggy")], "given string, nickname string")
+    tables = {"messages": messages, "contacts": contacts, "extracted_entities": entities, "known_nicknames": nick}
+    monkeypatch.setattr(queries, "reader", lambda spark, root: tables.get)
+    pushed = {r["id"]: r["push_name"] for r in queries.p7_redacted(spark, "").collect()}
+    assert pushed == {f"m{n}": "[NAME]" if n % 2 else "[EMAIL]" for n in range(40)}
+    counted = {(r["field_name"], r["pii_kind"]) for r in queries.p7_found(spark, "").collect()}
+    assert counted == {("text_content", "name"), ("push_name", "email")}

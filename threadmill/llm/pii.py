@@ -430,7 +430,7 @@ def proposals(messages: DataFrame, lexicon: Lexicon, ordinary: frozenset) -> Dat
                 for field, content in (("text_content", text), ("push_name", pushed)):
                     if not content or content.isspace():
                         continue
-                    for start, end, kind, votes, shape in finder.spans(content, field == "text_content"):
+                    for start, end, kind, votes, shape in finder.spans(content, True):
                         found = content[start:end]
                         left = len(found) - len(found.lstrip(" .,;:!?<>[]{}\"'"))
                         found = found.strip(" .,;:!?<>[]{}\"'")
@@ -448,8 +448,11 @@ def find_pii(messages: DataFrame, contacts: DataFrame, entities: DataFrame, nick
     lexicon = learn_lexicon(names.select("name").distinct(), contacts, nicknames)
     ordinary = ordinary_words(messages, "text_content")
     proposed = cut_lineage(proposals(messages, lexicon, ordinary))
-    patterns = proposed.groupBy("kind", "votes", "shape").agg(F.count(F.lit(1)).alias("n")).toPandas()
-    decided = decide(patterns)
+    # names are learnt from texts, if any holds one; a push name is mostly one name and would shift the shares
+    learnt = (F.col("field_name") == "text_content") | (F.col("kind") != "name")
+    patterns = proposed.groupBy("kind", "votes", "shape").agg(F.count_if(learnt).alias("n"), F.count(F.lit(1)).alias("every")).toPandas()
+    patterns["n"] = patterns["n"].where(patterns.groupby("kind")["n"].transform("sum") > 0, patterns["every"])
+    decided = decide(patterns.drop(columns="every"))
     spark = messages.sparkSession
     model = spark.createDataFrame(decided[["kind", "votes", "shape", "probability"]], "kind string, votes string, shape string, probability double")
     scored = proposed.join(F.broadcast(model), ["kind", "votes", "shape"]).where(F.col("probability") >= least)

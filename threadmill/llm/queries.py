@@ -42,7 +42,8 @@ def _pii(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
-    return _pii(spark, root).select("id", "chat_jid", "field_name", "pii_kind", "pii_text").distinct()
+    counted = (F.col("field_name") == "text_content") | F.col("pii_kind").isin("email", "phone")
+    return _pii(spark, root).where(counted).select("id", "chat_jid", "field_name", "pii_kind", "pii_text").distinct()
 
 
 def p7_redacted(spark: SparkSession, root: str) -> DataFrame:
