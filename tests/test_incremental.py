@@ -72,7 +72,30 @@ def test_ledger_survives_failures(spark, tmp_path):
 
 def test_ledger_lets_one_of_two_racing_runs_commit(spark, tmp_path):
     ledger = IntervalLedger(spark, f"file://{tmp_path}", "extract")
-    commit = {"number": 1, "folder": "x", "intervals": [(1, 2)]}
+    commit = {"number": 1, "folder": "x", "intervals": [(1, 2)], "processed": [(1, 2)]}
     ledger._publish(1, commit)
-    with pytest.raises(Exception):
+    with pytest.raises(FileExistsError):
         ledger._publish(1, commit)
+    assert ledger.processed() == [(1, 2)]
+
+
+def test_ledger_outlives_a_crash_at_any_point_of_the_commit(spark, tmp_path, monkeypatch):
+    ledger = IntervalLedger(spark, f"file://{tmp_path}", "embed")
+
+    def rows(spans):
+        return spark.createDataFrame([(n,) for low, high in spans for n in range(low, high + 1)], "n int")
+
+    assert ledger.run([(1, 4)], rows) == [(1, 4)]
+    # the rows are written, the commit is not
+    with monkeypatch.context() as patch:
+        patch.setattr(IntervalLedger, "_publish", lambda *_: (_ for _ in ()).throw(RuntimeError("power cut")))
+        with pytest.raises(RuntimeError):
+            ledger.run([(1, 9)], rows)
+    # the commit is half written
+    (tmp_path / "embed" / "_commits" / "_draft-000002-torn").write_text('{"number": 2, "fol')
+    assert ledger.processed() == [(1, 4)]
+    again = IntervalLedger(spark, f"file://{tmp_path}", "embed")
+    assert again.run([(1, 9)], rows) == [(5, 9)]
+    assert again.processed() == [(1, 9)] and sorted(r["n"] for r in again.output().collect()) == list(range(1, 10))
+    assert len(again.clear()) == 2 and again.clear() == []
+    assert sorted(r["n"] for r in again.output().collect()) == list(range(1, 10))

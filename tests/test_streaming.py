@@ -3,7 +3,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from threadmill.streaming.ingest import EVENT, Counters, Store, decoded, ingest
+from threadmill.streaming.ingest import EVENT, Completion, Counters, Store, decoded, ingest, ingest_history
 
 T0 = dt.datetime(2026, 3, 27, 9, 18, 59)
 
@@ -66,3 +66,46 @@ def test_empty_store(spark, tmp_path):
     store = Store(spark, f"{tmp_path}/none")
     assert store.messages().count() == 0 and store.contacts().count() == 0
     assert store.messages().agg(F.max("timestamp")).first()[0] is None
+
+
+def test_history_is_complete_only_after_its_last_piece():
+    now = [0.0]
+    history = Completion(initial=5, between=40, settle=15, clock=lambda: now[0])
+    history.saw(42)
+    now[0] = 10
+    assert not history.done
+    history.saw(100)
+    now[0] = 24
+    assert not history.done
+    now[0] = 25
+    assert history.done
+    history.saw(1)
+    assert history.done
+    idle = Completion(initial=5, clock=lambda: now[0])
+    now[0] = 29
+    assert not idle.done
+    now[0] = 30
+    assert idle.done
+    slow = Completion(initial=5, between=40, clock=lambda: now[0])
+    slow.saw(None)
+    now[0] = 69
+    assert not slow.done
+    now[0] = 70
+    assert slow.done
+
+
+def test_history_ingest_stops_by_progress(spark, tmp_path):
+    rows = [_event(kind="history", ident="a", chat="c", progress=50), _event(kind="history", ident="b", chat="c", progress=100), _event(kind="progress", progress=100)]
+    _write(spark, rows, f"{tmp_path}/in", "a")
+    store = Store(spark, f"{tmp_path}/store")
+    stream = spark.readStream.schema(EVENT).parquet(f"{tmp_path}/in/*")
+    ingest_history(stream, store, f"{tmp_path}/checkpoint", Completion(initial=120, between=120, settle=0.5), every="0 seconds", poll=0.2)
+    assert {r["id"] for r in store.messages().collect()} == {"a", "b"} and not spark.streams.active
+
+
+def test_a_batch_reads_the_cuts_it_touches(spark, tmp_path):
+    store = Store(spark, f"{tmp_path}/store", cuts=4)
+    store.write(spark.createDataFrame([_event(ident=str(i), chat="c") for i in range(40)], EVENT), 0)
+    store.write(spark.createDataFrame([_event(ident="7", chat="c"), _event(ident="new", chat="c")], EVENT), 1)
+    store.write(spark.createDataFrame([], EVENT), 2)
+    assert store.messages().count() == 41 and store.messages(below=1).count() == 40

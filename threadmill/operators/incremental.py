@@ -16,6 +16,8 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from threadmill.sources.tables import blank
+
 Interval = tuple[int, int]
 
 
@@ -129,8 +131,6 @@ def pending_messages(arrivals: DataFrame, runs: DataFrame, messages: DataFrame,
     available = arrivals.agg(F.min("batch_no").cast("bigint").alias("first"), F.max("batch_no").cast("bigint").alias("last"))
     stages = runs.select("stage").distinct()
     todo = gaps(stages, available, union_of_ranges(good_ranges(runs), "stage", "low", "high"))
-    from threadmill.sources.tables import blank
-
     present = messages.where(~blank(F.col("text_content"))).select("id", "chat_jid", F.coalesce("is_group", F.lit(False)).alias("_group"))
     # the log of runs bounds the number of gaps, so they go to every executor
     due = changes.join(F.broadcast(todo), F.col("change_batch").between(F.col("low"), F.col("high"))).select("stage", "id", "chat_jid")
@@ -143,10 +143,12 @@ class IntervalLedger:
     """Processed intervals of a stage, committed together with its output.
 
     Each run writes its rows into a folder of its own and then publishes one
-    commit file that names the folder, the intervals it covered and its number;
-    publishing is a rename that fails if the number is taken.  ``output`` and
-    ``processed`` read committed runs only, so a run that dies leaves no rows
-    and no interval, and two runs that race cannot both commit.
+    commit file that names its number, its folder, the intervals it covered and
+    the merged intervals of all runs up to it.  The file is written whole under
+    another name and then renamed, which fails if the number is taken: a run
+    that dies at any point leaves no rows and no interval, and of two runs that
+    race one commits.  What died is ignored; ``clear`` deletes it.  A next run
+    reads the last commit only; ``output`` takes the folders of all.
     """
 
     def __init__(self, spark: SparkSession, root: str, stage: str):
@@ -154,46 +156,84 @@ class IntervalLedger:
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._commits = f"{self.root}/{stage}/_commits"
+        self._home = f"{self.root}/{stage}"
+        self._commits = f"{self._home}/_commits"
 
-    def commits(self) -> list[dict]:
+    def _numbers(self) -> list[int]:
+        """Numbers of the published commits; a name not yet renamed is none."""
         at = self._path(self._commits)
         if not self._fs.exists(at):
             return []
-        found = []
-        for status in self._fs.listStatus(at):
-            if status.getPath().getName().endswith(".json"):
-                text = self.spark.read.text(status.getPath().toString(), wholetext=True).first()[0]
-                found.append(json.loads(text))
-        return sorted(found, key=lambda c: c["number"])
+        names = (status.getPath().getName() for status in self._fs.listStatus(at))
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
+    def _commit(self, number: int) -> dict:
+        stream = self._fs.open(self._path(f"{self._commits}/{number:06d}.json"))
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def commits(self) -> list[dict]:
+        return [self._commit(n) for n in self._numbers()]
 
     def processed(self) -> list[Interval]:
-        return merge_intervals(tuple(span) for c in self.commits() for span in c["intervals"])
+        numbers = self._numbers()
+        return [tuple(span) for span in self._commit(numbers[-1])["processed"]] if numbers else []
 
     def plan(self, available: Iterable[Interval]) -> list[Interval]:
         return subtract_intervals(available, self.processed())
 
     def run(self, available: Iterable[Interval], work: Callable[[list[Interval]], DataFrame]) -> list[Interval]:
-        """Processes the gaps and commits them; returns the intervals covered."""
-        before = self.commits()
-        todo = subtract_intervals(available, merge_intervals(tuple(s) for c in before for s in c["intervals"]))
+        """Processes the gaps and commits them; returns the intervals covered.
+
+        Raises ``FileExistsError`` where another run committed in between; the
+        gaps are then planned anew by the next call.
+        """
+        numbers = self._numbers()
+        before = [tuple(span) for span in self._commit(numbers[-1])["processed"]] if numbers else []
+        todo = subtract_intervals(available, before)
         if not todo:
             return []
-        number = before[-1]["number"] + 1 if before else 1
-        folder = f"{self.root}/{self.stage}/run-{number:06d}-{uuid.uuid4().hex[:8]}"
+        number = numbers[-1] + 1 if numbers else 1
+        folder = f"{self._home}/run-{number:06d}-{uuid.uuid4().hex[:8]}"
         work(todo).write.parquet(folder)
-        self._publish(number, {"number": number, "folder": folder, "intervals": todo})
+        self._publish(number, {"number": number, "folder": folder, "intervals": todo, "processed": merge_intervals([*before, *todo])})
         return todo
 
     def _publish(self, number: int, commit: dict) -> None:
         target = self._path(f"{self._commits}/{number:06d}.json")
+        draft = self._path(f"{self._commits}/_draft-{number:06d}-{uuid.uuid4().hex}")
         self._fs.mkdirs(self._path(self._commits))
-        stream = self._fs.create(target, False)  # fails where another run has taken the number
+        stream = self._fs.create(draft, False)
         try:
             stream.write(bytearray(json.dumps(commit).encode()))
         finally:
             stream.close()
+        # the context's rename refuses a name that is there, on every file system that Hadoop knows
+        context = self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        rename = self.spark.sparkContext._gateway.new_array(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(self._fs.makeQualified(draft), self._fs.makeQualified(target), rename)
+        except Exception as failed:
+            self._fs.delete(draft, False)
+            if self._fs.exists(target):
+                raise FileExistsError(f"run {number} of {self.stage} is committed already") from failed
+            raise
+
+    def clear(self) -> list[str]:
+        """Deletes the drafts and run folders that no commit names; call it while no run is at work."""
+        kept = {c["folder"].rsplit("/", 1)[-1] for c in self.commits()}
+        gone = []
+        for at, left in ((self._home, lambda n: n.startswith("run-") and n not in kept), (self._commits, lambda n: n.startswith("_draft-"))):
+            if self._fs.exists(self._path(at)):
+                for status in self._fs.listStatus(self._path(at)):
+                    if left(status.getPath().getName()):
+                        self._fs.delete(status.getPath(), True)
+                        gone.append(status.getPath().getName())
+        return gone
 
     def output(self) -> DataFrame | None:
+        """The rows of all committed runs; None before the first."""
         folders = [c["folder"] for c in self.commits()]
         return self.spark.read.parquet(*folders) if folders else None

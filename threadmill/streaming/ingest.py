@@ -2,12 +2,15 @@
 
 Late events are always taken: there is no watermark on ingest, so nothing is
 dropped for being old, and no state grows with the stream either, since each
-micro-batch is checked against the stored keys.  A batch that is replayed after
-a failure writes the same folder again.
+micro-batch is checked against the stored keys.  The store is cut by a hash of
+the key, and a micro-batch reads the keys of the cuts that it touches only.  A
+batch that is replayed after a failure writes the same folder again.
 """
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -84,7 +87,7 @@ def as_contacts(events: DataFrame) -> DataFrame:
 
 @dataclass
 class Counters(StreamingQueryListener):
-    """What a running ingest has seen so far; done once progress reaches 100 or the source ends."""
+    """What a running ingest has seen so far; closes once, when the stream ends."""
 
     rows: int = 0
     batches: int = 0
@@ -114,11 +117,44 @@ class Counters(StreamingQueryListener):
                 call()
 
 
+class Completion:
+    """When a history that arrives in pieces counts as complete.
+
+    It is complete after ``initial`` seconds without any piece, ``between``
+    seconds without a further one, or ``settle`` seconds after the last one
+    that reported a progress of 100 or more.  Once complete it stays so.
+    """
+
+    def __init__(self, initial: float = 30.0, between: float = 600.0, settle: float = 20.0, clock: Callable[[], float] = time.monotonic):
+        self._between, self._settle, self._clock = between, settle, clock
+        self._lock = threading.Lock()
+        self._due = clock() + initial
+        self._done = False
+
+    def saw(self, progress: int | None) -> None:
+        """A piece of history with its progress (None: not told)."""
+        with self._lock:
+            self._due = self._clock() + (self._settle if progress is not None and progress >= 100 else self._between)
+
+    @property
+    def done(self) -> bool:
+        with self._lock:
+            self._done = self._done or self._clock() >= self._due
+            return self._done
+
+
+#: Into how many cuts the keys of the store are divided.
+CUTS = 64
+
+
 class Store:
-    """Messages and contacts as folders of parquet, one subfolder a micro-batch."""
+    """Messages and contacts as folders of parquet: one a micro-batch, cut by a hash of the key."""
+
+    def __init__(self, spark: SparkSession, root: str, cuts: int = CUTS):
+        self.spark, self.root, self.cuts = spark, root.rstrip("/"), cuts
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def _cut(self) -> F.Column:
+        return F.pmod(F.xxhash64("id", "chat_jid"), F.lit(self.cuts)).cast("int").alias("cut")
 
     def _read(self, name: str, schema: T.StructType) -> DataFrame:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
@@ -126,19 +162,24 @@ class Store:
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}") if there else self.spark.createDataFrame([], schema)
 
     def messages(self, below: int | None = None) -> DataFrame:
-        schema = as_messages(self.spark.createDataFrame([], EVENT)).schema.add("batch", "bigint")
-        stored = self._read("messages", schema)
+        """Stored messages, those of batches before ``below`` if given."""
+        plain = as_messages(self.spark.createDataFrame([], EVENT)).schema
+        stored = self._read("messages", T.StructType([*plain.fields, T.StructField("batch", T.LongType()), T.StructField("cut", T.IntegerType())]))
         return stored if below is None else stored.where(F.col("batch") < below)
 
     def contacts(self) -> DataFrame:
         """The last row of a jid wins."""
-        rows = self._read("contacts", as_contacts(self.spark.createDataFrame([], EVENT)).schema.add("batch", "bigint"))
+        plain = as_contacts(self.spark.createDataFrame([], EVENT)).schema
+        rows = self._read("contacts", T.StructType([*plain.fields, T.StructField("batch", T.LongType())]))
         return last_wins(rows, ["jid"], F.struct("batch", "seq"), ["push_name"])
 
     def write(self, events: DataFrame, batch: int) -> None:
         """One micro-batch: new keys only; written again, it replaces itself."""
-        fresh = new_rows(self.messages(below=batch).select("id", "chat_jid"), as_messages(events), ["id", "chat_jid"])
-        fresh.write.mode("overwrite").parquet(f"{self.root}/messages/batch={batch}")
+        fresh = as_messages(events).withColumn("cut", self._cut())
+        touched = [r["cut"] for r in fresh.select("cut").distinct().collect()]  # at most ``cuts``
+        stored = self.messages(below=batch).where(F.col("cut").isin(*touched)) if touched else self.messages(below=batch).limit(0)
+        new = new_rows(stored.select("id", "chat_jid"), fresh, ["id", "chat_jid"])
+        new.write.mode("overwrite").partitionBy("cut").parquet(f"{self.root}/messages/batch={batch}")
         as_contacts(events).write.mode("overwrite").parquet(f"{self.root}/contacts/batch={batch}")
 
     def high_water(self):
@@ -146,7 +187,36 @@ class Store:
         return self.messages().agg(F.max("timestamp")).first()[0]
 
 
-def ingest(events: DataFrame, store: Store, checkpoint: str, live: bool = False) -> StreamingQuery:
-    """Starts the stream: what is there, then stop, or ``live`` until it is stopped."""
-    writer = events.writeStream.foreachBatch(lambda df, batch: store.write(df, batch)).option("checkpointLocation", checkpoint)
-    return (writer.trigger(processingTime="5 seconds") if live else writer.trigger(availableNow=True)).start()
+def ingest(events: DataFrame, store: Store, checkpoint: str, live: bool = False, completion: Completion | None = None, every: str = "5 seconds") -> StreamingQuery:
+    """Starts the stream: what is there, then stop, or ``live`` until it is stopped.
+
+    ``completion`` is told of every micro-batch that holds history or progress.
+    """
+
+    def take(batch: DataFrame, number: int) -> None:
+        # read by two writes and the look at progress
+        batch.persist()
+        try:
+            store.write(batch, number)
+            if completion is not None:
+                seen = batch.where(F.col("event_type").isin("history", "progress")).agg(F.count(F.lit(1)).alias("n"), F.max("progress").alias("progress")).first()
+                if seen["n"]:
+                    completion.saw(seen["progress"])
+        finally:
+            batch.unpersist()
+
+    writer = events.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if live else writer.trigger(availableNow=True)).start()
+
+
+def ingest_history(events: DataFrame, store: Store, checkpoint: str, completion: Completion | None = None, every: str = "5 seconds", poll: float = 1.0) -> None:
+    """Ingests until the history counts as complete, then stops; a failure of the stream is raised."""
+    completion = completion or Completion()
+    running = ingest(events, store, checkpoint, live=True, completion=completion, every=every)
+    try:
+        while not completion.done:
+            if running.awaitTermination(poll):
+                return
+        running.processAllAvailable()
+    finally:
+        running.stop()
