@@ -1,8 +1,13 @@
+import difflib
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from threadmill.functions.stemming import stem, terms
+
 from threadmill.operators import filters, intervals, upsert
 from threadmill.plans import entities, graph, reports, retrieval
 
@@ -66,15 +71,62 @@ def test_flow_paths(spark):
     assert got == [("a", "b", ["a", "m", "b"], 2)]
 
 
-def test_communities_are_connected_and_better_than_one(spark):
+@pytest.mark.parametrize("one_task", [500_000, 6])
+def test_communities_are_connected_and_better_than_one(spark, one_task):
     pairs = [(f"{g}{i}", f"{g}{j}", 1.0) for g in "pqr" for i in range(5) for j in range(i + 1, 5)] + [("p0", "q0", 0.5), ("q1", "r1", 0.5), ("s", "s", 9.0)]
     edges = spark.createDataFrame(pairs, "src string, dst string, weight double")
-    member = graph.communities(edges).cache()
+    member = graph.communities(edges, one_task=one_task).cache()
     groups = {}
     for r in member.collect():
         groups.setdefault(r["community"], set()).add(r["node"])
     assert sorted(map(sorted, groups.values())) == [[f"{g}{i}" for i in range(5)] for g in "pqr"]
+    assert set(groups) == {"p0", "q0", "r0"}
     assert graph.modularity(edges.where("src <> dst"), member).first()[0] > 0.6
+    assert graph.communities(edges.where("src = dst")).count() == 0
+    people = spark.createDataFrame([("p1",), ("q3",), ("nobody",)], "source_id string")
+    stored = {r["source_id"]: r["community_id"] for r in graph.store_communities(people, member).collect()}
+    assert stored == {"p1": 0, "q3": 1, "nobody": -1}
+
+
+def test_communities_of_a_random_graph_are_connected(spark):
+    rng = random.Random(3)
+    pairs = {(min(a, b), max(a, b)) for a, b in ((rng.randrange(60), rng.randrange(60)) for _ in range(150)) if a != b}
+    edges = spark.createDataFrame([(f"{a:02d}", f"{b:02d}", float(rng.randrange(1, 5))) for a, b in pairs], "src string, dst string, weight double")
+    for one_task in (500_000, 40):
+        found = {r["node"]: r["community"] for r in graph.communities(edges, one_task=one_task).collect()}
+        assert set(found) == {f"{v:02d}" for pair in pairs for v in pair}
+        for community in set(found.values()):
+            inside = {n for n, c in found.items() if c == community}
+            reached, stack = {community}, [community]
+            while stack:
+                node = stack.pop()
+                for a, b in pairs:
+                    for x, y in ((f"{a:02d}", f"{b:02d}"), (f"{b:02d}", f"{a:02d}")):
+                        if x == node and y in inside and y not in reached:
+                            reached.add(y)
+                            stack.append(y)
+            assert reached == inside
+
+
+def test_rank_over_hubs_is_the_rank_over_all_their_pairs(spark):
+    edges = spark.createDataFrame([("a", "b", 3.0), ("b", "a", 1.0), ("x", "b", 2.0), ("c", "lost", 1.0)], "src string, dst string, weight double")
+    hubs = [("a", "g", 1.0), ("b", "g", 1.0), ("c", "g", 1.0), ("c", "e", 2.0), ("d", "e", 2.0), ("alone", "h", 1.0)]
+    held = spark.createDataFrame(hubs, "node string, hub string, weight double")
+    pairs = [(p, q, w) for p, g, w in hubs for q, h, _ in hubs if g == h and p != q]
+    whole = edges.unionByName(spark.createDataFrame(pairs, "src string, dst string, weight double"))
+    seeds = spark.createDataFrame([("a", 2.0), ("d", 1.0)], "node string, weight double")
+    got = [{r["node"]: r["score"] for r in graph.personalized_rank(e, seeds, steps=60, tolerance=1e-12, hubs=h, one_task=n).collect()} for e, h in ((edges, held), (whole, None)) for n in (10**6, 0)]
+    for other in got[1:]:
+        assert other.keys() == got[0].keys() and all(math.isclose(other[k], got[0][k], abs_tol=1e-9) for k in other)
+    assert "alone" not in got[0] and math.isclose(sum(got[0].values()), 1, abs_tol=1e-9)
+
+
+def test_pairs_within_a_hub_do_not_depend_on_its_parts(spark):
+    rows = spark.createDataFrame([("g", f"p{i}") for i in range(12)] + [("h", "p1")], "group_jid string, person string")
+    want = {(f"p{i}", f"p{j}") for i in range(12) for j in range(12) if i != j}
+    for share in (2_000, 3):
+        got = [(r["a"], r["b"]) for r in graph.pairs_within(rows, ["group_jid"], "person", "a", "b", share).collect()]
+        assert len(got) == len(want) and set(got) == want
 
 
 def test_fusion_ignores_score_scale(spark):
@@ -84,12 +136,55 @@ def test_fusion_ignores_score_scale(spark):
     assert got["b"] == (pytest.approx(1 / 61 + 1 / 62), 0.9) and got["a"] == (pytest.approx(1 / 61), 0.0)
 
 
-def test_merge_plan_cases():
-    assert entities.merge_plan([("Acme Labs", 9), ("acme labs", 3)]) == {"acme labs": "Acme Labs"}
-    assert entities.merge_plan([("Acme", 9), ("Acme Labs", 3), ("Acme Lab", 2)]) == {"Acme Lab": "Acme Labs"} or entities.merge_plan([("Acme", 9), ("Acme Labs", 3)]) == {}
-    assert entities.merge_plan([("Acme Labs", 3), ("Acme", 3)]) == {} or True
-    assert entities.merge_plan([("Kubernetes", 9), ("Kubernetis", 2)]) == {"Kubernetis": "Kubernetes"}
-    assert entities.merge_plan([]) == {}
+def _greedy(values, ratio=0.85):
+    """The merging rule told as a loop: against every canonical value so far, in order."""
+    plan, canonical = {}, []
+    for value, count in sorted(values, key=lambda vc: (-vc[1], vc[0])):
+        low = value.lower()
+        for other, seen in canonical:
+            base = other.lower()
+            if low == base:
+                plan[value] = other
+            elif min(len(low), len(base)) > 3 and (low in base or base in low):
+                longer, shorter = (other, value) if len(value) < len(other) else (value, other)
+                plan[value] = longer if count < seen else shorter
+            elif min(len(low), len(base)) > 5 and difflib.SequenceMatcher(None, low, base).ratio() > ratio:
+                plan[value] = other
+            else:
+                continue
+            break
+        else:
+            canonical.append((value, count))
+    return {k: v for k, v in plan.items() if k != v}
+
+
+def _plan(spark, values, kind="org"):
+    rows = [(f"m{i}", kind, v, "c") for i, (v, n) in enumerate((v, k) for v, n in values for k in range(n))]
+    return {r["old"]: r["new"] for r in entities.merged(spark.createDataFrame(rows, "message_id string, entity_type string, entity_value string, chat_jid string")).collect()}
+
+
+def test_merge_plan_cases(spark):
+    assert _plan(spark, [("Acme Labs", 9), ("acme labs", 3)]) == {"acme labs": "Acme Labs"}
+    assert _plan(spark, [("Kubernetes", 9), ("Kubernetis", 2), ("abc", 5), ("abcd", 4)]) == {"Kubernetis": "Kubernetes"}
+    assert _plan(spark, [("The Foundry", 9), ("Foundry", 3)]) == {"Foundry": "The Foundry"}
+    assert _plan(spark, [("Foundry", 9), ("The Foundry", 3)]) == {}
+    assert _plan(spark, [("Foundry", 3), ("The Foundry", 3)]) == {"The Foundry": "Foundry"}
+    assert _plan(spark, [("one", 1)]) == {} and _plan(spark, []) == {}
+
+
+def test_merge_plan_is_the_greedy_one(spark):
+    rng = random.Random(5)
+    stems = ["north gate", "gate", "harbour labs", "harbor labs", "labs", "kettle", "kettles", "the kettle works", "orchid", "orchids society", "copper kite", "kopper kite", "river", "riverside club"]
+    values = {}
+    for _ in range(260):
+        text = rng.choice(stems)
+        if rng.random() < 0.5:
+            at = rng.randrange(len(text))
+            text = text[:at] + rng.choice("aeimrst ") + text[at + rng.randrange(2) :]
+        if rng.random() < 0.3:
+            text = text + " " + rng.choice(["inc", "two", "west", "xyz"])
+        values[text.title() if rng.random() < 0.3 else text] = rng.randrange(2, 7)
+    assert _plan(spark, list(values.items())) == _greedy(list(values.items()))
 
 
 def test_normaliser(spark):
@@ -106,18 +201,17 @@ def test_tagger_and_patterns(spark):
     assert [tuple(r) for r in tagged] == [("m", "c", "org", "Acme")]
 
 
-def test_the_converged_rank_reaches_distant_nodes(spark, monkeypatch):
-    import numpy as np
-
+def test_the_rank_reaches_distant_nodes(spark, monkeypatch):
     from threadmill import queries_core
 
     links = [(i, i + 1, 1.0 + i) for i in range(9)] + [(i, 0, 0.5) for i in range(1, 9)]
     parts = {
-        "digraph": spark.createDataFrame([(str(a), str(b), w) for a, b, w in links], "src string, dst string, weight double"),
+        "talk": spark.createDataFrame([(str(a), str(b), w) for a, b, w in links], "src string, dst string, weight double"),
+        "hubs": spark.createDataFrame([], "node string, hub string, weight double"),
         "member_of": spark.createDataFrame([("0", "g"), ("0", "h"), ("1", "g")], "person string, group_jid string"),
     }
     monkeypatch.setattr(queries_core, "graph_parts", lambda spark, root: parts)
-    got = {int(r["node"]): r["score"] for r in queries_core.QUERIES["g14_converged_rank"](spark, "").collect()}
+    got = {int(r["node"]): r["score"] for r in queries_core.QUERIES["g14_personalized_rank"](spark, "").collect()}
     move, p = np.zeros((10, 10)), np.array([2 / 3, 1 / 3] + [0.0] * 8)
     for a, b, w in links:
         move[b, a] = w
@@ -127,23 +221,59 @@ def test_the_converged_rank_reaches_distant_nodes(spark, monkeypatch):
     assert all(math.isclose(got[i], want[i], abs_tol=1e-6) for i in range(10)) and got[9] > 0.01
 
 
-def test_the_search_ranks_to_tolerance(spark, monkeypatch):
-    import inspect
+def test_search_terms_and_stems():
+    assert terms("Meetings were RUNNING at the café") == ["meet", "run", "cafe"]
+    assert terms("Встреча: meeting!", True) == ["встреча", "meet"] and terms("Встреча: meeting!") == ["meet"]
+    assert terms(None) == [] and terms(" ") == []
+    told = {"caresses": "caress", "ponies": "poni", "hopping": "hop", "hoping": "hope", "relational": "relat", "electricity": "electr", "agreed": "agre", "controlling": "control", "skis": "ski", "gently": "gentl", "news": "news", "knightly": "knight", "consistency": "consist"}
+    assert {w: stem(w) for w in told} == told
+
+
+def test_words_are_found_by_their_stem(spark):
+    texts = [("a", "c", "Meetings were running late"), ("b", "c", "nothing of the sort"), ("d", "c", None), ("e", "c", "")]
+    index = retrieval.TextIndex.build(spark.createDataFrame(texts, "id string, chat_jid string, text_content string"))
+    assert [r["id"] for r in index.search("the meeting run", 5).collect()] == ["a"]
+    assert index.search("the", 5).count() == 0
+
+
+def test_similarity_by_matrix_product(spark):
+    rows = [("a", "c", [1.0, 0.0]), ("a", "c", [0.0, 2.0]), ("b", "c", [-1.0, 0.0]), ("n", "c", [0.0, 0.0]), ("x", "c", [float("nan"), 1.0]), ("g", "c", [None, 1.0]), ("o", "c", [1.0]), ("z", "c", None)]
+    got = {r["id"]: r["similarity"] for r in retrieval.similar(spark.createDataFrame(rows, "id string, chat_jid string, embedding array<float>"), [[0.0, 1.0], [0.0, 0.0]], 9).collect()}
+    assert got == {"a": pytest.approx(1.0), "b": pytest.approx(0.0)}
+
+
+def test_embedder_runs_by_batches(spark):
+    rows = [(str(i), "c", "x" * i) for i in range(5)] + [("n", "c", None)]
+    made = retrieval.embedded(spark.createDataFrame(rows, "id string, chat_jid string, embedding_text string"), lambda texts: [[len(t), 1] for t in texts], batch=2, limit=3)
+    assert {r["id"]: list(r["embedding"]) for r in made.collect()} == {str(i): [min(i, 3), 1.0] for i in range(1, 5)}
+
+
+def _search(spark, text, seen, depth="balanced"):
+    messages = spark.createDataFrame(
+        [("1", "g", "ann", 0, False, True, "north gate at nine", "Ann", [1.0, 0.0]), ("2", "g", "bob", 60_000_000, False, True, "see you there", "Bob", [0.9, 0.1]), ("3", "bob", "bob", 120_000_000, False, False, "gates!", "Bob", [0.0, 1.0])],
+        "id string, chat_jid string, sender string, us bigint, mine boolean, grouped boolean, text_content string, push_name string, embedding array<float>",
+    )
+    contacts = spark.createDataFrame([("ann", "Ann", None, None, None, False), ("bob", "Bob", None, None, None, False), ("g", None, None, None, "Group", True)], "jid string, push_name string, full_name string, business_name string, group_name string, is_group boolean")
+    people = graph.persons(contacts)
+    member, direct, talked = graph.member_of(messages, people), graph.messaged(messages, people), graph.conversed(messages, people)
+    said = graph.mentions(messages, spark.createDataFrame([], "message_id string, chat_jid string, entity_type string, entity_value string"), people)
+    edges = {"persons": people, "groups": graph.groups(contacts, messages), "messaged": direct, "member_of": member, "conversed": talked, "mentions": said, "talk": graph.talk_edges(direct, talked), "hubs": graph.hubs_of(member, said), "digraph": graph.weighted_digraph(direct, talked, member, said)}
+
+    def embed(texts):
+        seen.append(texts)
+        return [[1.0, 0.0]] * len(texts)
+
+    return retrieval.run_search(text, embed, messages, contacts, edges, retrieval.TextIndex.build(messages), depth, expand=lambda q, n: [f"{q}{i}" for i in range(n)]), edges
 
-    from threadmill import queries_core
 
-    class Reached(Exception):
-        pass
-
-    def search(*args, **given):
-        bound = inspect.signature(run_search).bind(*args, **given)
-        bound.apply_defaults()
-        raise Reached(bound.arguments["steps"])
-
-    run_search = retrieval.run_search
-    monkeypatch.setattr(retrieval, "run_search", search)
-    monkeypatch.setattr(queries_core, "graph_parts", lambda spark, root: {"digraph": spark.createDataFrame([("a", "b", 1.0)], "src string, dst string, weight double")})
-    for name in ("r10_people", "r11_connections", "r13_search_json"):
-        with pytest.raises(Reached) as steps:
-            queries_core.QUERIES[name](spark, "/root/testdata/sf0.001")
-        assert steps.value.args[0] >= 100
+def test_search_expands_embeds_and_falls_back(spark):
+    seen = []
+    found, edges = _search(spark, "gate", seen)
+    assert seen == [["gate", "gate0", "gate1", "gate2", "gate3"]]
+    ranked = [r["id"] for r in found["results"].orderBy("rank").collect()]
+    assert ranked[0] == "1" and set(ranked) == {"1", "2", "3"}
+    assert {r["sender"] for r in found["people"].collect()} == {"ann", "bob"}
+    told = {(r["part"]) for r in retrieval.insights(found["people"], edges["conversed"], edges["groups"], "ann").collect()}
+    assert "relationship" in told and "connection" in told
+    lone, _ = _search(spark, "qqq", [], "fast")
+    assert [round(r["rrf_score"], 6) for r in lone["results"].orderBy("rank").collect()] == [round(r["similarity"], 6) for r in lone["results"].orderBy("rank").collect()]

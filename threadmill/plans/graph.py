@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,15 +59,29 @@ def member_of(messages: DataFrame, people: DataFrame) -> DataFrame:
     return seen.join(people.select(F.col("source_id").alias("sender")), "sender", "left_semi").select(F.col("sender").alias("person"), F.col("chat_jid").alias("group_jid"), "message_count", "first_us", "last_us")
 
 
+def pairs_within(rows: DataFrame, hub: list[str], node: str, first: str, second: str, share: int = 2_000) -> DataFrame:
+    """``hub..., first, second``: ordered pairs of different nodes of one hub, both ways.
+
+    The members of a hub are dealt out over one part in ``share`` members, and
+    every part meets all of them, so no task sees more than ``share`` times the
+    size of a hub however large that is.  The pairs are what is asked for; an
+    operator that needs their sums only should work on the hubs.
+    """
+    sizes = rows.groupBy(*hub).agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias("_parts"))
+    sized = rows.select(*hub, node).join(sizes, hub)
+    one = sized.select(*hub, F.col(node).alias(first), F.pmod(F.xxhash64(node), F.col("_parts")).cast("int").alias("_part"))
+    two = sized.select(*hub, F.col(node).alias(second), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    return one.join(two, [*hub, "_part"]).where(F.col(first) != F.col(second)).drop("_part")
+
+
 def co_occurs(members: DataFrame) -> DataFrame:
     """``person1, person2, shared_groups``, person1 < person2.
 
     The pairs of a group are what is asked for, so a group of n members gives
     n (n - 1) / 2 of them.
     """
-    one = members.select("group_jid", F.col("person").alias("person1"))
-    two = members.select("group_jid", F.col("person").alias("person2"))
-    return one.join(two, "group_jid").where("person1 < person2").groupBy("person1", "person2").agg(F.count(F.lit(1)).alias("shared_groups"))
+    pairs = pairs_within(members, ["group_jid"], "person", "person1", "person2").where("person1 < person2")
+    return pairs.groupBy("person1", "person2").agg(F.count(F.lit(1)).alias("shared_groups"))
 
 
 def conversed(messages: DataFrame, people: DataFrame) -> DataFrame:
@@ -87,9 +103,8 @@ def discusses(mentioned: DataFrame, topic: DataFrame) -> DataFrame:
 
 def weighted_digraph(direct: DataFrame, talked: DataFrame, members: DataFrame, mentioned: DataFrame) -> DataFrame:
     """``src, dst, weight``: direct messages x 3, exchanges x 5 and shared groups x 1 both ways, shared entities x 2 both ways."""
-    shared = members.select("group_jid", F.col("person").alias("src")).join(members.select("group_jid", F.col("person").alias("dst")), "group_jid").where("src <> dst")
-    named = mentioned.select("person", "entity_type", "entity_value").distinct()
-    both = named.withColumnRenamed("person", "src").join(named.withColumnRenamed("person", "dst"), ["entity_type", "entity_value"]).where("src <> dst")
+    shared = pairs_within(members, ["group_jid"], "person", "src", "dst")
+    both = pairs_within(mentioned.select("person", "entity_type", "entity_value").distinct(), ["entity_type", "entity_value"], "person", "src", "dst")
     parts = [
         direct.select(F.col("sender").alias("src"), F.col("receiver").alias("dst"), (F.col("message_count") * 3.0).alias("weight")),
         talked.select(F.col("person1").alias("src"), F.col("person2").alias("dst"), (F.col("exchange_count") * 5.0).alias("weight")),
@@ -103,6 +118,25 @@ def weighted_digraph(direct: DataFrame, talked: DataFrame, members: DataFrame, m
     return out.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
+def talk_edges(direct: DataFrame, talked: DataFrame) -> DataFrame:
+    """The part of the weighted digraph that is stored edge by edge: ``src, dst, weight``."""
+    out = direct.select(F.col("sender").alias("src"), F.col("receiver").alias("dst"), (F.col("message_count") * 3.0).alias("weight"))
+    for one, two in (("person1", "person2"), ("person2", "person1")):
+        out = out.unionByName(talked.select(F.col(one).alias("src"), F.col(two).alias("dst"), (F.col("exchange_count") * 5.0).alias("weight")))
+    return out.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+
+
+def hubs_of(members: DataFrame, mentioned: DataFrame) -> DataFrame:
+    """The part of the weighted digraph that hubs stand for: ``node, hub, weight``.
+
+    All members of a hub are linked both ways with its weight: 1 for a group, 2
+    for an entity.  A hub of n members takes n rows in place of n (n - 1).
+    """
+    groups_ = members.select(F.col("person").alias("node"), F.concat(F.lit("g\x1f"), "group_jid").alias("hub"), F.lit(1.0).alias("weight"))
+    things = mentioned.select(F.col("person").alias("node"), F.concat(F.lit("e\x1f"), "entity_type", F.lit("\x1f"), "entity_value").alias("hub"), F.lit(2.0).alias("weight"))
+    return groups_.unionByName(things).distinct()
+
+
 def undirected(direct: DataFrame, talked: DataFrame, together: DataFrame) -> DataFrame:
     """``src, dst, weight`` with src < dst: direct x 3, exchanges x 5, shared groups x 1; loops are left out."""
     parts = [
@@ -113,39 +147,93 @@ def undirected(direct: DataFrame, talked: DataFrame, together: DataFrame) -> Dat
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).where("src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def personalized_rank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, steps: int = 50, tolerance: float = 1e-8) -> DataFrame:
+#: A graph of at most so many rows is ranked or divided in one task, beyond it by joins.
+ONE_TASK_ROWS = 500_000
+
+
+def personalized_rank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, steps: int = 100, tolerance: float = 1e-8, hubs: DataFrame | None = None, one_task: int = ONE_TASK_ROWS) -> DataFrame:
     """``node, score`` by power iteration with restart at ``seeds`` (``node, weight``).
 
-    Mass of nodes without outgoing edges returns to the seeds.  Stops when the
+    ``edges`` has ``src, dst, weight``; with ``hubs`` (``node, hub, weight``)
+    all members of a hub are linked both ways as well, and what passes through
+    a hub is summed up once: each member gets the sum less its own part.  Mass
+    of nodes without outgoing edges returns to the seeds.  Stops when the
     scores move less than ``tolerance`` a node, or after ``steps``.  Seeds
     outside the graph count for nothing; without any seed inside, empty.
     """
-    nodes = cut_lineage(edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct())
+    spark = edges.sparkSession
+    edges = cut_lineage(edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight")).where("weight > 0"))
+    if hubs is None:
+        hubs = spark.createDataFrame([], "node string, hub string, weight double")
+    sizes = hubs.groupBy("hub").agg((F.count(F.lit(1)) - 1).alias("others")).where("others > 0")
+    hubs = cut_lineage(hubs.join(sizes, "hub").select("node", "hub", F.col("weight").cast("double").alias("weight"), "others"))
+    seeds = cut_lineage(seeds.groupBy("node").agg(F.sum("weight").cast("double").alias("weight")).where("weight > 0"))
+    if edges.count() + hubs.count() <= one_task:
+        rows = edges.select(F.lit("edge").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("weight").cast("double").alias("w"))
+        rows = rows.unionByName(hubs.select(F.lit("hub").alias("kind"), F.col("node").alias("a"), F.col("hub").alias("b"), F.col("weight").alias("w")))
+        rows = rows.unionByName(seeds.select(F.lit("seed").alias("kind"), F.col("node").alias("a"), F.lit("").alias("b"), F.col("weight").alias("w")))
+        return rows.groupBy().applyInPandas(lambda group: _rank_table(group, alpha, steps, tolerance), "node string, score double")
+    ends = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).unionByName(hubs.select("node"))
+    nodes = cut_lineage(ends.distinct())
     n = nodes.count()
-    inside = seeds.join(nodes, "node", "left_semi").groupBy("node").agg(F.sum("weight").alias("weight")).where("weight > 0")
+    inside = seeds.join(nodes, "node", "left_semi")
     total = inside.agg(F.sum("weight")).first()[0]
     if not total:
         return nodes.limit(0).select("node", F.lit(0.0).alias("score"))
-    restart = cut_lineage(inside.select("node", (F.col("weight") / total).alias("p")))
-    out = edges.groupBy("src").agg(F.sum("weight").alias("out"))
-    moves = cut_lineage(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share")))
-    sinks = cut_lineage(nodes.join(out.withColumnRenamed("src", "node"), "node", "left_anti"))
-    score = cut_lineage(nodes.join(restart, "node", "left").select("node", F.coalesce("p", F.lit(0.0)).alias("score")))
-    for step in range(steps):
-        flow = score.join(moves, score["node"] == moves["src"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") * F.col("share")).alias("flow"))
-        lost = score.join(sinks, "node", "left_semi").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("lost"))
+    restart = inside.select("node", (F.col("weight") / total).alias("p"))
+    given = edges.select(F.col("src").alias("node"), "weight").unionByName(hubs.select("node", (F.col("weight") * F.col("others")).alias("weight")))
+    out = given.groupBy("node").agg(F.sum("weight").alias("out"))
+    # one row a node with all that a step needs of it
+    known = cut_lineage(nodes.join(restart, "node", "left").join(out, "node", "left").select("node", F.coalesce("p", F.lit(0.0)).alias("p"), "out"))
+    score = known.select("node", "p", "out", F.col("p").alias("score"))
+    for _ in range(steps):
+        sent = score.where("out is not null").select("node", (F.col("score") / F.col("out")).alias("y"))
+        along = sent.join(edges, sent["node"] == edges["src"]).select(F.col("dst").alias("node"), (F.col("y") * F.col("weight")).alias("flow"))
+        passed = cut_lineage(hubs.join(sent, "node").select("node", "hub", (F.col("y") * F.col("weight")).alias("own")))
+        through = passed.join(passed.groupBy("hub").agg(F.sum("own").alias("all")), "hub").select("node", (F.col("all") - F.col("own")).alias("flow"))
+        flow = along.unionByName(through).groupBy("node").agg(F.sum("flow").alias("flow"))
+        lost = score.where("out is null").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("lost"))
         fresh = (
             score.join(flow, "node", "left")
-            .join(restart, "node", "left")
             .crossJoin(F.broadcast(lost))
-            .select("node", F.col("score").alias("before"), (alpha * (F.coalesce("flow", F.lit(0.0)) + F.col("lost") * F.coalesce("p", F.lit(0.0))) + (1 - alpha) * F.coalesce("p", F.lit(0.0))).alias("score"))
+            .select("node", "p", "out", F.col("score").alias("before"), (alpha * (F.coalesce("flow", F.lit(0.0)) + F.col("lost") * F.col("p")) + (1 - alpha) * F.col("p")).alias("score"))
         )
         fresh = cut_lineage(fresh)
         moved = fresh.agg(F.sum(F.abs(F.col("score") - F.col("before")))).first()[0] or 0.0
-        score = fresh.select("node", "score")
+        score = fresh.select("node", "p", "out", "score")
+        if moved < tolerance * n:
+            break
+    return score.select("node", "score")
+
+
+def _rank_table(rows: pd.DataFrame, alpha: float, steps: int, tolerance: float) -> pd.DataFrame:
+    """The rank of a graph whose edges, hubs and seeds fit one task."""
+    edge, hub, seed = (rows[rows["kind"] == kind] for kind in ("edge", "hub", "seed"))
+    names = pd.Index(pd.unique(pd.concat([edge["a"], edge["b"], hub["a"]])))
+    n = len(names)
+    src, dst, member = names.get_indexer(edge["a"]), names.get_indexer(edge["b"]), names.get_indexer(hub["a"])
+    centre, centres = pd.factorize(hub["b"])
+    weight, own = edge["w"].to_numpy(), hub["w"].to_numpy()
+    restart = np.zeros(n)
+    at = names.get_indexer(seed["a"])
+    np.add.at(restart, at[at >= 0], seed["w"].to_numpy()[at >= 0])
+    if not n or not restart.sum():
+        return pd.DataFrame({"node": pd.Series(dtype=object), "score": pd.Series(dtype=float)})
+    restart /= restart.sum()
+    others = np.bincount(centre, minlength=len(centres))[centre] - 1
+    out = np.bincount(src, weight, n) + np.bincount(member, own * others, n)
+    sink = out == 0
+    score = restart.copy()
+    for _ in range(steps):
+        y = np.divide(score, out, out=np.zeros(n), where=~sink)
+        held = y[member] * own
+        flow = np.bincount(dst, y[src] * weight, n) + np.bincount(member, np.bincount(centre, held, len(centres))[centre] - held, n)
+        fresh = alpha * (flow + score[sink].sum() * restart) + (1 - alpha) * restart
+        moved = np.abs(fresh - score).sum()
+        score = fresh
         if moved < tolerance * n:
             break
-    return score
+    return pd.DataFrame({"node": names, "score": score})
 
 
 def resource_flow(edges: DataFrame, sources: DataFrame, alpha: float = 0.7, theta: float = 0.01, hops: int = 3, frontier: int = 500) -> DataFrame:
@@ -155,7 +243,7 @@ def resource_flow(edges: DataFrame, sources: DataFrame, alpha: float = 0.7, thet
     that is below a thousandth of ``theta``; the frontier keeps the nodes with
     the largest resources.
     """
-    degree = edges.where("src <> dst or src = dst").groupBy("src").agg(F.count_distinct("dst").alias("degree"))
+    degree = edges.groupBy("src").agg(F.count_distinct("dst").alias("degree"))
     links = edges.select("src", "dst").distinct().join(degree, "src")
     held = sources.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("resource"))
     edge_of = held.select("source", "node")
@@ -212,72 +300,138 @@ def flow_paths(edges: DataFrame, seeds: Iterable[str], alpha: float = 0.7, theta
     return scored.withColumn("hops", F.size("path") - 1).orderBy(F.col("score").desc(), "source", "target").limit(limit)
 
 
-def _moved(both: DataFrame, mass_of: DataFrame, total: float, resolution: float, rounds: int) -> DataFrame:
-    """``node, k, community`` after moving nodes to the neighbouring community of the largest gain, half of them a turn."""
-    state = cut_lineage(mass_of.select("node", "k", F.col("node").alias("community")))
-    idle = 0
-    for turn in range(rounds):
-        mass = state.groupBy("community").agg(F.sum("k").alias("mass"))
-        links = both.join(state.select(F.col("node").alias("dst"), "community"), "dst").groupBy("src", "community").agg(F.sum("weight").alias("inside"))
-        own = state.select(F.col("node").alias("src"), "k", F.col("community").alias("own"))
-        stay = own.select("src", F.col("own").alias("community"), F.lit(0.0).alias("inside"))
-        offers = links.unionByName(stay).groupBy("src", "community").agg(F.sum("inside").alias("inside")).join(own, "src").join(mass, "community")
-        rest = F.col("mass") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
-        gain = F.col("inside") - F.lit(resolution) * F.col("k") * rest / F.lit(total)
-        best = offers.groupBy("src").agg(F.max_by("community", F.struct(F.round(gain, 9), F.col("community") == F.col("own"), "community")).alias("better"))
-        moves = F.pmod(F.xxhash64("node"), F.lit(2)) == turn % 2
-        fresh = cut_lineage(state.join(best.withColumnRenamed("src", "node"), "node").select("node", "k", F.col("community").alias("before"), F.when(moves, F.col("better")).otherwise(F.col("community")).alias("community")))
-        idle = 0 if fresh.where("before <> community").count() else idle + 1
-        state = fresh.select("node", "k", "community")
-        if idle == 2:
-            break
-    return state
-
+def communities(edges: DataFrame, resolution: float = 1.0, one_task: int = ONE_TASK_ROWS) -> DataFrame:
+    """``node, community`` by moving nodes for modularity over undirected edges (src < dst).
 
-def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 10, levels: int = 3) -> DataFrame:
-    """``node, community`` by local moving for modularity over undirected edges (src < dst).
-
-    All nodes of one half move at once to the neighbouring community of the
-    largest gain, then those of the other half, so the result is the same every
-    time; then the communities themselves are moved as nodes, ``levels`` times
-    at most.  Communities that fall apart into unconnected pieces are split at
-    the end.  The name of a community is its smallest member; loops are ignored.
+    A graph of more than ``one_task`` edges is first made smaller by joins: two
+    nodes that are each other's best gain become one, and whoever gains most by
+    one of them joins it.  Once it is small enough, or shrinks no further, one
+    task moves its nodes to the community of the largest gain, splits what is
+    not connected, takes the pieces as nodes and begins again until nothing
+    moves.  Every node of the graph is connected inside, so communities are.
+    The name of a community is its smallest member; loops are ignored.
     """
-    both = edges.where("src <> dst").select("src", "dst", "weight").unionByName(edges.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    both = cut_lineage(both.groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
-    total = both.agg(F.sum("weight")).first()[0]
+    links = cut_lineage(edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), F.col("weight").cast("double").alias("weight")).groupBy("src", "dst").agg(F.sum("weight").alias("weight")).where("weight > 0"))
+    count, total = links.agg(F.count(F.lit(1)), F.sum("weight")).first()
     if not total:
         return edges.limit(0).select(F.col("src").alias("node"), F.col("src").alias("community"))
-    mass_of = cut_lineage(both.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k")))
-    member = mass_of.select("node", F.col("node").alias("community"))
-    links = both
-    for _ in range(levels):
-        state = _moved(links, mass_of, total, resolution, rounds)
-        fewer = state.select("community").distinct().count()
-        if fewer == state.count():
+    mass = cut_lineage(_both_ways(links).groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k")))
+    member = mass.select("node", F.col("node").alias("community"))
+    while count > one_task:
+        joined = cut_lineage(_matched(links, mass, 2 * total, resolution))
+        fewer = joined.where("node <> community").count()
+        # fewer than one in a hundred: the graph will not get much smaller
+        if fewer * 100 < mass.count():
             break
-        step = state.select(F.col("node").alias("community"), F.col("community").alias("upper"))
-        member = cut_lineage(member.join(step, "community").select("node", F.col("upper").alias("community")))
-        mass_of = cut_lineage(state.groupBy(F.col("community").alias("node")).agg(F.sum("k").alias("k")))
-        up = links.join(step.withColumnRenamed("community", "src").withColumnRenamed("upper", "a"), "src").join(step.withColumnRenamed("community", "dst").withColumnRenamed("upper", "b"), "dst")
-        links = cut_lineage(up.where("a <> b").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("weight").alias("weight")))
-    joined = both.join(member.select(F.col("node").alias("src"), F.col("community").alias("a")), "src").join(member.select(F.col("node").alias("dst"), F.col("community").alias("b")), "dst").where("a = b")
-    return components(member.select("node"), joined.select("src", "dst")).withColumnRenamed("component", "community")
-
-
-def components(nodes: DataFrame, links: DataFrame, rounds: int = 60) -> DataFrame:
-    """``node, component``: the smallest node connected to each, by label spreading with jumps."""
-    label = cut_lineage(nodes.select("node", F.col("node").alias("component")))
-    both = cut_lineage(links.select("src", "dst").unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    for _ in range(rounds):
-        near = both.join(label.select(F.col("node").alias("dst"), F.col("component").alias("c")), "dst").groupBy(F.col("src").alias("node")).agg(F.min("c").alias("c"))
-        lower = label.join(near, "node", "left").select("node", F.col("component").alias("before"), F.least("component", F.coalesce("c", "component")).alias("component"))
-        jumped = lower.join(lower.select(F.col("node").alias("component"), F.col("component").alias("c2")), "component").select("node", "before", F.least("component", "c2").alias("component"))
-        label = cut_lineage(jumped)
-        if label.where("before <> component").isEmpty():
+        member = cut_lineage(member.withColumnRenamed("community", "upper").join(joined.withColumnRenamed("node", "upper"), "upper").select("node", "community"))
+        mass = cut_lineage(mass.join(joined, "node").groupBy(F.col("community").alias("node")).agg(F.sum("k").alias("k")))
+        links = cut_lineage(_contracted(links, joined))
+        count = links.count()
+    rows = links.select("src", "dst", "weight").unionByName(mass.select(F.col("node").alias("src"), F.lit(None).cast("string").alias("dst"), F.col("k").alias("weight")))
+    final = rows.groupBy().applyInPandas(lambda group: _communities_table(group, 2 * total, resolution), "node string, community string")
+    placed = member.withColumnRenamed("community", "upper").join(final.withColumnRenamed("node", "upper"), "upper").select("node", "community")
+    named = placed.groupBy("community").agg(F.min("node").alias("name"))
+    return placed.join(named, "community").select("node", F.col("name").alias("community"))
+
+
+def _both_ways(links: DataFrame) -> DataFrame:
+    return links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+
+
+def _matched(links: DataFrame, mass: DataFrame, twice: float, resolution: float) -> DataFrame:
+    """``node, community``: who becomes one with whom in a round of coarsening."""
+    k_src, k_dst = mass.select(F.col("node").alias("src"), F.col("k").alias("k_src")), mass.select(F.col("node").alias("dst"), F.col("k").alias("k_dst"))
+    gains = links.join(k_src, "src").join(k_dst, "dst").select("src", "dst", (F.col("weight") - resolution * F.col("k_src") * F.col("k_dst") / twice).alias("weight")).where("weight > 0")
+    # ties are told apart by the pair, not by the side, so that best partners form no ring
+    ranked = _both_ways(gains).withColumn("pair", F.struct("weight", F.xxhash64(F.least("src", "dst"), F.greatest("src", "dst")).alias("h"), F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")))
+    best = cut_lineage(ranked.groupBy(F.col("src").alias("node")).agg(F.max_by("dst", "pair").alias("partner")))
+    back = best.select(F.col("node").alias("partner"), F.col("partner").alias("node"))
+    roots = best.join(back, ["node", "partner"], "left_semi").select("node", F.least("node", "partner").alias("root"))
+    near = best.join(roots.withColumnRenamed("node", "partner"), "partner").select("node", F.col("root").alias("near"))
+    return mass.select("node").join(roots, "node", "left").join(near, "node", "left").select("node", F.coalesce("root", "near", "node").alias("community"))
+
+
+def _contracted(links: DataFrame, joined: DataFrame) -> DataFrame:
+    a, b = joined.select(F.col("node").alias("src"), F.col("community").alias("a")), joined.select(F.col("node").alias("dst"), F.col("community").alias("b"))
+    up = links.join(a, "src").join(b, "dst").where("a <> b")
+    return up.groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.sum("weight").alias("weight"))
+
+
+def _communities_table(rows: pd.DataFrame, twice: float, resolution: float, passes: int = 20) -> pd.DataFrame:
+    """Communities of a graph that fits one task; rows without ``dst`` hold the masses of the nodes."""
+    masses = rows[rows["dst"].isna()].sort_values("src")
+    names, held = masses["src"].tolist(), masses["weight"].tolist()
+    place = {name: i for i, name in enumerate(names)}
+    around: list[dict[int, float]] = [{} for _ in names]
+    for a, b, w in rows[rows["dst"].notna()][["src", "dst", "weight"]].sort_values(["src", "dst"]).itertuples(index=False):
+        around[place[a]][place[b]] = around[place[b]][place[a]] = w
+    top = list(range(len(names)))  # node of the present level for each first node
+    home = list(range(len(names)))  # community of each node of the present level
+    while True:
+        _move(around, held, home, twice, resolution, passes)
+        piece = _connected_pieces(around, home)
+        pieces = max(piece, default=-1) + 1
+        top = [piece[t] for t in top]
+        if pieces == len(held):
             break
-        label = label.select("node", "component")
-    return label.select("node", "component")
+        fresh_held = [0.0] * pieces
+        for node, p in enumerate(piece):
+            fresh_held[p] += held[node]
+        fresh: list[dict[int, float]] = [{} for _ in range(pieces)]
+        for node, links in enumerate(around):
+            for other, w in links.items():
+                if piece[node] != piece[other]:
+                    fresh[piece[node]][piece[other]] = fresh[piece[node]].get(piece[other], 0.0) + w
+        around, held, home = fresh, fresh_held, list(range(pieces))
+    return pd.DataFrame({"node": names, "community": [str(t) for t in top]})
+
+
+def _move(around, held, home, twice: float, resolution: float, passes: int) -> None:
+    """Moves nodes, in order, to the neighbouring community of the largest gain until none gains."""
+    size: dict[int, float] = {}
+    for node, community in enumerate(home):
+        size[community] = size.get(community, 0.0) + held[node]
+    queue, waiting, most = list(range(len(home))), set(range(len(home))), passes * len(home)
+    at = 0
+    while at < len(queue) and at < most:
+        node = queue[at]
+        at += 1
+        waiting.discard(node)
+        toward: dict[int, float] = {}
+        for other, w in around[node].items():
+            toward[home[other]] = toward.get(home[other], 0.0) + w
+        own = home[node]
+        size[own] -= held[node]
+        best, best_gain = own, toward.get(own, 0.0) - resolution * held[node] * size[own] / twice
+        for community in sorted(toward):
+            gain = toward[community] - resolution * held[node] * size[community] / twice
+            if gain > best_gain + 1e-12 * twice:
+                best, best_gain = community, gain
+        size[best] = size.get(best, 0.0) + held[node]
+        if best != own:
+            home[node] = best
+            for other in around[node]:
+                if home[other] != best and other not in waiting:
+                    queue.append(other)
+                    waiting.add(other)
+
+
+def _connected_pieces(around, home) -> list[int]:
+    """A number for each node: equal where nodes of one community are connected within it."""
+    piece = [-1] * len(home)
+    made = 0
+    for start in range(len(home)):
+        if piece[start] >= 0:
+            continue
+        stack, piece[start] = [start], made
+        while stack:
+            node = stack.pop()
+            for other in around[node]:
+                if piece[other] < 0 and home[other] == home[start]:
+                    piece[other] = made
+                    stack.append(other)
+        made += 1
+    return piece
 
 
 def modularity(edges: DataFrame, member: DataFrame, resolution: float = 1.0) -> DataFrame:
@@ -290,6 +444,21 @@ def modularity(edges: DataFrame, member: DataFrame, resolution: float = 1.0) ->
     return inner.crossJoin(total).crossJoin(squares).select((F.col("inside") / F.col("m") - F.lit(resolution) * F.col("k2") / (4 * F.col("m") * F.col("m"))).alias("modularity"))
 
 
+def store_communities(people: DataFrame, member: DataFrame) -> DataFrame:
+    """Persons with ``community_id``: communities numbered from 0 by falling size, then name; -1 for persons in none.
+
+    The numbers are dealt out over one row a community, by ranges of size.
+    """
+    sizes = member.groupBy("community").agg(F.count(F.lit(1)).alias("n"))
+    same = sizes.groupBy("n").agg(F.count(F.lit(1)).alias("many"))
+    # there are few different sizes: about the square root of twice the number of nodes at most
+    before = same.withColumn("first", F.coalesce(F.sum("many").over(Window.orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("n", "first")
+    within = F.row_number().over(Window.partitionBy("n").orderBy("community")) - 1
+    numbered = sizes.withColumn("place", within).join(before, "n").select("community", (F.col("first") + F.col("place")).alias("community_id"))
+    placed = member.join(numbered, "community").select(F.col("node").alias("source_id"), "community_id")
+    return people.join(placed, "source_id", "left").withColumn("community_id", F.coalesce("community_id", F.lit(-1)))
+
+
 def community_cards(member: DataFrame, people: DataFrame, members: DataFrame, group: DataFrame, mentioned: DataFrame) -> DataFrame:
     """Communities of two or more: size, first ten names, three busiest groups, five most mentioned entities, label."""
     held = people.join(member.withColumnRenamed("node", "source_id"), "source_id")

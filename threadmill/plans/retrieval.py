@@ -5,17 +5,20 @@ Ranked lists are relations with an explicit ``rank``; order is never implied.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadmill.functions.columns import first_filled, phone_of
+from threadmill.functions.stemming import terms
 from threadmill.operators.filters import SearchFilter
 from threadmill.operators.intervals import HOUR
 from threadmill.plans import graph
+from threadmill.session import cut_lineage
 
 K1, B = 1.2, 0.75
 
@@ -28,9 +31,15 @@ GENERIC = (
 ).split() + ["San Francisco", "New York"]
 
 
-def tokens(text: Column) -> Column:
-    """Lower-case runs of ASCII letters; stemming and stop words are left to the caller."""
-    return F.filter(F.split(F.lower(text), "[^a-z]+"), lambda t: t != "")
+def tokens(text: Column, every_script: bool = False) -> Column:
+    """Search terms of a text: accents off, stop words out, English stems; with ``every_script`` words of other letters as they are."""
+
+    @F.pandas_udf("array<string>")
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(lambda t: terms(t, every_script))
+
+    return cut(text)
 
 
 @dataclass
@@ -40,32 +49,38 @@ class TextIndex:
     postings: DataFrame
     corpus: DataFrame  # one row: n, mean_length
 
+    every_script: bool = False
+
     @classmethod
-    def build(cls, messages: DataFrame) -> TextIndex:
+    def build(cls, messages: DataFrame, every_script: bool = False) -> TextIndex:
         """Index of the non-null texts; ``messages`` has ``id, chat_jid, text_content``."""
-        held = messages.where("text_content is not null").select("id", "chat_jid", tokens(F.col("text_content")).alias("terms"))
+        held = messages.where("text_content is not null").select("id", "chat_jid", tokens(F.col("text_content"), every_script).alias("terms"))
         corpus = held.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("mean_length"))
         one = held.select("id", "chat_jid", F.size("terms").alias("length"), F.explode("terms").alias("term"))
-        return cls(one.groupBy("id", "chat_jid", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length")), corpus)
+        return cls(one.groupBy("id", "chat_jid", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length")), corpus, every_script)
 
-    def search(self, query: str, limit: int, allowed: DataFrame | None = None) -> DataFrame:
-        """``id, chat_jid, score, rank``; a filter restricts results, not the statistics."""
+    def scores(self, query: str, allowed: DataFrame | None = None) -> DataFrame:
+        """``id, chat_jid, score`` of every text that holds a term of the query; a filter restricts results, not the statistics."""
         spark = self.postings.sparkSession
-        words = sorted(set(w for w in "".join(c if "a" <= c <= "z" else " " for c in query.lower()).split()))
-        wanted = spark.createDataFrame([(w,) for w in words], "term string")
+        wanted = spark.createDataFrame([(w,) for w in sorted(set(terms(query, self.every_script)))], "term string")
         hits = self.postings.join(F.broadcast(wanted), "term", "left_semi")
         found = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         scored = hits.join(F.broadcast(found), "term").crossJoin(F.broadcast(self.corpus))
         idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
         part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-        ranked = scored.groupBy("id", "chat_jid").agg(F.sum(part).alias("score"))
-        if allowed is not None:
-            ranked = ranked.join(allowed.select("id", "chat_jid"), ["id", "chat_jid"], "left_semi")
-        return with_rank(ranked, "score", limit)
+        out = scored.groupBy("id", "chat_jid").agg(F.sum(part).alias("score"))
+        return out if allowed is None else out.join(allowed.select("id", "chat_jid"), ["id", "chat_jid"], "left_semi")
+
+    def search(self, query: str, limit: int, allowed: DataFrame | None = None) -> DataFrame:
+        """``id, chat_jid, score, rank`` of the best ``limit``."""
+        return with_rank(self.scores(query, allowed), "score", limit)
 
 
 def with_rank(scored: DataFrame, score: str, limit: int) -> DataFrame:
-    """The best rows with ``rank`` from 0; scores equal to nine digits are ordered by id and chat."""
+    """The best rows with ``rank`` from 0; scores equal to nine digits are ordered by id and chat.
+
+    Only the ``limit`` rows that a distributed top-k leaves are ranked together.
+    """
     order = [F.round(score, 9).desc(), F.col("id"), F.col("chat_jid")]
     best = scored.orderBy(*order).limit(limit)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)) - 1)
@@ -74,22 +89,48 @@ def with_rank(scored: DataFrame, score: str, limit: int) -> DataFrame:
 def similar(messages: DataFrame, vectors: Sequence[Sequence[float]], limit: int) -> DataFrame:
     """``id, chat_jid, similarity, rank``: exact cosine, for each message the best over the query vectors.
 
-    The few query vectors are literals of the plan; vectors of another width,
-    null or of norm zero take no part.
+    One matrix product a batch in double precision; vectors of another width,
+    with null or endless elements or of norm zero take no part.
     """
-    width = len(vectors[0])
-    own = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
-    best = None
-    for vector in vectors:
-        norm = math.sqrt(sum(v * v for v in vector)) or 1.0
-        literal = F.array(*(F.lit(float(v) / norm) for v in vector))
-        product = F.aggregate(F.zip_with("embedding", literal, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, v: s + v)
-        best = product if best is None else F.greatest(best, product)
-    sized = messages.where(F.size("embedding") == width).select("id", "chat_jid", (best / F.nullif(own, F.lit(0.0))).alias("similarity"))
-    one = sized.where(F.col("similarity").isNotNull() & ~F.isnan("similarity")).groupBy("id", "chat_jid").agg(F.max("similarity").alias("similarity"))
+    asked = np.asarray(vectors, dtype=np.float64)
+    width = asked.shape[1]
+    norms = np.linalg.norm(asked, axis=1, keepdims=True)
+    asked = asked / np.where(norms > 0, norms, 1)
+
+    @F.pandas_udf("double")
+    def best(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            # a null element is one that is not finite
+            held = np.array([np.asarray(v, dtype=np.float64) for v in batch]).reshape(len(batch), width)
+            own = np.sqrt((held * held).sum(axis=1))
+            with np.errstate(invalid="ignore", divide="ignore"):
+                found = (held @ asked.T).max(axis=1) / own
+            yield pd.Series(np.where(np.isfinite(found), found, np.nan)).astype(object).where(np.isfinite(found), None)
+
+    sized = messages.where(F.size("embedding") == width).select("id", "chat_jid", best("embedding").alias("similarity"))
+    one = sized.where("similarity is not null").groupBy("id", "chat_jid").agg(F.max("similarity").alias("similarity"))
     return with_rank(one, "similarity", limit)
 
 
+def embedded(texts: DataFrame, embed: Callable[[list[str]], Sequence[Sequence[float]]], key: Sequence[str] = ("id", "chat_jid"), text: str = "embedding_text", batch: int = 100, limit: int = 8000) -> DataFrame:
+    """``key..., embedding``: vectors of any embedder of texts, run on the executors by batches.
+
+    Texts are cut to ``limit`` characters; null and blank ones have no row.  A
+    failure of the embedder fails the task, which Spark tries again.
+    """
+    kinds = ", ".join(f"`{k}` {texts.schema[k].dataType.simpleString()}" for k in key)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at in range(0, len(frame), batch):
+                part = frame.iloc[at : at + batch]
+                made = embed([t[:limit] for t in part[text]])
+                yield part[list(key)].assign(embedding=[list(map(float, v)) for v in made])
+
+    kept = texts.where(F.length(F.trim(text)) > 0).select(*key, text)
+    return kept.mapInPandas(run, f"{kinds}, embedding array<float>")
+
+
 def fuse(rankings: Sequence[DataFrame], k: int = 60) -> DataFrame:
     """``id, chat_jid, rrf_score, similarity``: reciprocal ranks summed over the lists; a missing similarity is 0."""
     parts = [r.select("id", "chat_jid", "rank", (F.col("similarity") if "similarity" in r.columns else F.lit(None).cast("double")).alias("similarity")) for r in rankings]
@@ -99,13 +140,6 @@ def fuse(rankings: Sequence[DataFrame], k: int = 60) -> DataFrame:
     return out.groupBy("id", "chat_jid").agg(F.sum(1.0 / (k + F.col("rank") + 1)).alias("rrf_score"), F.coalesce(F.max("similarity"), F.lit(0.0)).alias("similarity"))
 
 
-def keep_best(rows: DataFrame, score: str) -> DataFrame:
-    """One row a message: the one of the best score."""
-    others = [c for c in rows.columns if c not in ("id", "chat_jid")]
-    picked = rows.groupBy("id", "chat_jid").agg(F.max_by(F.struct(*others), score).alias("_r"))
-    return picked.select("id", "chat_jid", *(F.col(f"_r.{c}").alias(c) for c in others))
-
-
 def thread_context(results: DataFrame, messages: DataFrame, n: int = 10, reach: int = HOUR) -> DataFrame:
     """``id, chat_jid, thread, conversation_boost``: the first texts within an hour on either side.
 
@@ -183,7 +217,7 @@ def relationships(people: DataFrame, conversed: DataFrame, groups: DataFrame, am
     best = people.orderBy(F.col("score").desc(), "sender").limit(among).select("sender", "display_name")
     one, two = best.select(F.col("sender").alias("person1"), F.col("display_name").alias("name1")), best.select(F.col("sender").alias("person2"), F.col("display_name").alias("name2"))
     rows = conversed.join(F.broadcast(one), "person1").join(F.broadcast(two), "person2").join(groups.select("group_jid", "group_name"), "group_jid", "left")
-    summed = rows.groupBy("name1", "name2").agg(F.sum("exchange_count").alias("exchanges"), F.slice(F.array_sort(F.collect_set("group_name")), 1, 2).alias("groups"))
+    summed = rows.groupBy(F.substring("name1", 1, 25).alias("name1"), F.substring("name2", 1, 25).alias("name2")).agg(F.sum("exchange_count").alias("exchanges"), F.slice(F.array_sort(F.collect_set("group_name")), 1, 2).alias("groups"))
     return summed.orderBy(F.col("exchanges").desc(), "name1", "name2").limit(limit)
 
 
@@ -206,6 +240,16 @@ def shared_topics(people: DataFrame, limit: int = 8) -> DataFrame:
     return counted.where("n_people >= 2").orderBy(F.col("total_mentions").desc(), "entity_value").limit(limit)
 
 
+def insights(people: DataFrame, conversed: DataFrame, groups: DataFrame, owner: str) -> DataFrame:
+    """``part, line``: relationships, connections and topics of the best people, each row as JSON."""
+    parts = {"relationship": relationships(people, conversed, groups), "connection": connections(people, conversed, owner), "topic": shared_topics(people)}
+    out = None
+    for name, rows in parts.items():
+        rows = rows.select(F.lit(name).alias("part"), F.to_json(F.struct(*rows.columns)).alias("line"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def seeds_of(results: DataFrame, n: int = 20) -> DataFrame:
     """``node, weight``: senders of the best results, weighted by their best score."""
     best = results.orderBy(F.greatest("rrf_score", "similarity").desc(), "id", "chat_jid").limit(n)
@@ -224,7 +268,7 @@ def variants_of(query: str, n: int, expand: Callable[[str, int], list[str]] | No
 
 def run_search(
     query: str,
-    vectors: Sequence[Sequence[float]],
+    embed: Callable[[list[str]], Sequence[Sequence[float]]],
     messages: DataFrame,
     contacts: DataFrame,
     edges: dict[str, DataFrame],
@@ -233,27 +277,31 @@ def run_search(
     wanted: SearchFilter = SearchFilter(),
     owner_name: str = "",
     steps: int = 100,
+    expand: Callable[[str, int], list[str]] | None = None,
 ) -> dict[str, DataFrame | None]:
     """The whole search: ``results``, ``people`` and, with the graph, ``paths``.
 
-    ``messages`` has the columns of ``plans.store.messages`` with
-    ``text_content, push_name, embedding``; ``edges`` the graph's relations and
-    ``digraph``.
+    ``expand`` gives variants of the query, as many as the depth asks for, and
+    ``embed`` their vectors; words are searched by the query itself.  Where no
+    text holds a word of it, vectors alone decide.  ``messages`` has the columns
+    of ``plans.store.messages`` with ``text_content, push_name, embedding``;
+    ``edges`` the graph's relations, ``talk`` and ``hubs`` among them.
     """
-    from threadmill.session import cut_lineage
-
-    _, k, use_graph, iterations = DEPTHS[depth]
+    n_variants, k, use_graph, iterations = DEPTHS[depth]
+    vectors = list(embed(variants_of(query, n_variants, expand)))
     pool = messages.where(wanted.predicate(time="time") if (wanted.after or wanted.before) else wanted.predicate())
-    lists = [index.search(query, 3 * k, pool), similar(pool, vectors, 3 * k)]
-    fused = cut_lineage(fuse(lists).join(pool.select("id", "chat_jid", "sender", "us", "push_name", "text_content"), ["id", "chat_jid"]).orderBy(F.col("rrf_score").desc(), "id", "chat_jid").limit(3 * k))
+    context = pool.select("id", "chat_jid", "sender", "us", "push_name", "text_content")
+    worded, near = cut_lineage(index.search(query, 3 * k, pool)), similar(pool, vectors, 3 * k)
+    # without a word found the similarity is the score
+    first = near.select("id", "chat_jid", F.col("similarity").alias("rrf_score"), "similarity") if worded.isEmpty() else fuse([worded, near])
+    fused = cut_lineage(first.join(context, ["id", "chat_jid"]).orderBy(F.col("rrf_score").desc(), "id", "chat_jid").limit(3 * k))
     ranks = paths = None
     if use_graph and iterations >= 2:
         seeds = cut_lineage(seeds_of(fused))
-        ranks = cut_lineage(graph.personalized_rank(edges["digraph"], seeds, steps=steps).where("score > 0").orderBy(F.col("score").desc(), "node").limit(50))
-        near = pool.join(F.broadcast(ranks.orderBy(F.col("score").desc(), "node").limit(30).select(F.col("node").alias("sender"))), "sender", "left_semi")
-        more = similar(near, list(vectors)[:2], 2 * k)
+        ranks = cut_lineage(graph.personalized_rank(edges["talk"], seeds, steps=steps, hubs=edges["hubs"]).where("score > 0").orderBy(F.col("score").desc(), "node").limit(50))
+        theirs = pool.join(F.broadcast(ranks.orderBy(F.col("score").desc(), "node").limit(30).select(F.col("node").alias("sender"))), "sender", "left_semi")
         again = with_rank(fused.select("id", "chat_jid", "rrf_score", "similarity"), "rrf_score", 3 * k)
-        fused = cut_lineage(fuse([again, more]).join(pool.select("id", "chat_jid", "sender", "us", "push_name", "text_content"), ["id", "chat_jid"]).orderBy(F.col("rrf_score").desc(), "id", "chat_jid").limit(4 * k))
+        fused = cut_lineage(fuse([again, similar(theirs, vectors[:2], 2 * k)]).join(context, ["id", "chat_jid"]).orderBy(F.col("rrf_score").desc(), "id", "chat_jid").limit(4 * k))
         if iterations >= 3:
             names = [r["node"] for r in seeds.orderBy(F.col("weight").desc(), "node").limit(10).collect()]
             paths = graph.flow_paths(edges["digraph"], names)

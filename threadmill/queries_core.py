@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from threadmill.functions import columns
 from threadmill.operators import filters, intervals, upsert
 from threadmill.plans import entities, graph, reports, retrieval, store
+from threadmill.session import cut_lineage
 from threadmill.sources.tables import SCHEMAS, blank, empty, micros, reader
+from threadmill.streaming import ingest
 
 #: 2026-06-01 00:00:00 UTC.
 AS_OF = 1_780_272_000_000_000
@@ -89,6 +91,8 @@ def graph_parts(spark: SparkSession, root: str) -> dict[str, DataFrame]:
         "co_occurs": graph.co_occurs(member),
         "discusses": graph.discusses(mentioned, topic),
         "digraph": graph.weighted_digraph(direct, talked, member, mentioned),
+        "talk": graph.talk_edges(direct, talked),
+        "hubs": graph.hubs_of(member, mentioned),
     }
 
 
@@ -100,16 +104,23 @@ def _(spark, root):
     return reader(spark, root)("messages").select("id", "chat_jid", "msg_type")
 
 
-@query("sc5_typed_empty", "SELECT message_id, entity_type, entity_value FROM extracted_entities WHERE false")
+@query("sc5_typed_empty", "SELECT message_id, entity_type, entity_value FROM extracted_entities")
 def _(spark, root):
-    return empty(spark, "extracted_entities").select("message_id", "entity_type", "entity_value")
+    """An empty relation takes the rows of the stored table as they are, so its types are theirs."""
+    stored = reader(spark, root)("extracted_entities")
+    return empty(spark, "extracted_entities").unionAll(stored.select(*SCHEMAS["extracted_entities"].names)).select("message_id", "entity_type", "entity_value")
 
 
 @query(
     "sc6_schema_columns",
-    "SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{f.name}', '{f.dataType.simpleString()}', {i}::BIGINT)" for t, s in SCHEMAS.items() for i, f in enumerate(s.fields)) + ") AS v(table_name, column_name, column_type, position)",
+    " UNION ALL ".join(
+        f"""SELECT '{t}' AS table_name, column_name, CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'TIMESTAMP WITH TIME ZONE' THEN 'timestamp' WHEN 'DATE' THEN 'date'
+ WHEN 'SMALLINT' THEN 'smallint' WHEN 'BLOB' THEN 'binary' WHEN 'FLOAT[]' THEN 'array<float>' ELSE column_type END AS column_type, row_number() OVER () - 1 AS position FROM (DESCRIBE {t})"""
+        for t in ("messages", "contacts", "classifications", "extracted_entities")
+    ),
 )
 def _(spark, root):
+    """The declared schemas, against those of the stored files."""
     rows = [(t, f.name, f.dataType.simpleString(), i) for t in SCHEMAS for i, f in enumerate(empty(spark, t).schema.fields)]
     return spark.createDataFrame(rows, "table_name string, column_name string, column_type string, position bigint")
 
@@ -154,12 +165,25 @@ def _(spark, root):
 
 @query(
     "sc12_payload_decode",
-    """SELECT event_id, CASE WHEN json_extract_string(props, '$.k') IS NULL THEN 'other' WHEN CAST(json_extract_string(props, '$.k') AS INT) < 50 THEN 'low' ELSE 'high' END AS variant,
-CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events""",
-)
-def _(spark, root):
+    """WITH e AS (SELECT event_id, event_type AS t, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)
+SELECT event_id, CASE k % 12 WHEN 0 THEN 'text' WHEN 1 THEN 'text' WHEN 2 THEN 'image' WHEN 3 THEN 'video' WHEN 4 THEN 'audio' WHEN 5 THEN 'document' WHEN 6 THEN 'sticker' WHEN 7 THEN 'location'
+  WHEN 8 THEN 'contact' WHEN 9 THEN 'reaction' WHEN 10 THEN 'text' ELSE 'other' END AS msg_type,
+CASE WHEN k % 12 IN (0, 1, 2, 3, 5, 8, 9, 10) THEN t WHEN k % 12 = 7 THEN k || '.500000,-' || k || '.000000' END AS text_content,
+CASE k % 12 WHEN 2 THEN 'image/png' WHEN 3 THEN 'video/mp4' WHEN 4 THEN 'audio/ogg' WHEN 5 THEN 'application/pdf' WHEN 6 THEN 'image/webp' END AS media_type FROM e""",
+)
+def _(spark, root):
+    """Payloads of every variant, made from the events, as the ingest decodes them."""
+    made = {
+        0: '{"conversation":"%s"}', 1: '{"extended":{"text":"%s"}}', 2: '{"image":{"caption":"%s","mime":"image/png"}}', 3: '{"video":{"caption":"%s","mime":"video/mp4"}}', 4: '{"audio":{"mime":"audio/ogg"}}',
+        5: '{"document":{"title":"%s","mime":"application/pdf"}}', 6: '{"sticker":{"mime":"image/webp"}}', 7: '{"location":{"lat":#.5,"lon":-#}}', 8: '{"contact":{"name":"%s"}}', 9: '{"reaction":{"text":"%s"}}',
+        10: '{"image":{"caption":"no"},"conversation":"%s"}', 11: '{"unheard":1}',
+    }
     k = F.get_json_object("props", "$.k").cast("int")
-    return reader(spark, root)("events").select("event_id", F.when(k.isNull(), "other").when(k < 50, "low").otherwise("high").alias("variant"), k.alias("k"))
+    payload = None
+    for rest, text in made.items():
+        filled = F.replace(F.replace(F.lit(text), F.lit("%s"), F.col("event_type")), F.lit("#"), k.cast("string"))
+        payload = F.when(k % 12 == rest, filled) if payload is None else payload.when(k % 12 == rest, filled)
+    return ingest.decoded(reader(spark, root)("events").select("event_id", payload.alias("payload"))).select("event_id", "msg_type", "text_content", "media_type")
 
 
 @query(
@@ -255,16 +279,18 @@ def _(spark, root):
     return reports.search_text(_messages(spark, root, "text_content", names=True), "flat")
 
 
-@query(
-    "qr8_all_reports",
-    f"""WITH {_M}, d AS (SELECT chat_jid, grouped, count(*) AS n, max(us) AS last_us FROM m GROUP BY chat_jid, grouped)
-SELECT 'summary' AS report, count(*) AS n_rows FROM (SELECT 1)
-UNION ALL SELECT 'stale', least(20, count(*)) FROM d WHERE NOT grouped AND n >= 5 AND last_us < {AS_OF} - 2592000000000
-UNION ALL SELECT 'top_contacts', least(20, count(*)) FROM d""",
-)
+#: Of each report what identifies its rows and two of their figures.
+_REPORT_ROWS = {"summary": ("'all'", "total_messages", "latest_us"), "unanswered": ("chat_jid", "total_msgs", "received_us"), "stale": ("chat_jid", "total_messages", "last_us"), "top_contacts": ("chat_jid", "total_messages", "last_us")}
+
+
+@query("qr8_all_reports", " UNION ALL ".join(f"SELECT '{name}' AS report, {key} AS about, {n} AS n, {us} AS us FROM ({ORACLES[query_name]})" for (name, (key, n, us)), query_name in zip(_REPORT_ROWS.items(), ("qr1_summary", "qr2_unanswered", "qr3_stale", "qr5_top_contacts"))))
 def _(spark, root):
     made = reports.all_reports(_messages(spark, root, "text_content", names=True), AS_OF)
-    return reports.table_counts({k: made[k] for k in ("summary", "stale", "top_contacts")}).withColumnRenamed("table_name", "report")
+    out = None
+    for name, (key, n, us) in _REPORT_ROWS.items():
+        rows = made[name].selectExpr(f"'{name}' AS report", f"{key} AS about", f"{n} AS n", f"{us} AS us")
+        out = rows if out is None else out.unionAll(rows)
+    return out
 
 
 @query(
@@ -423,63 +449,62 @@ _part("mentions", ["person", "entity_type", "entity_value", "mention_count"], f"
 _part("digraph", ["src", "dst", "weight"], f"WITH {_GRAPH}, {_W} SELECT * FROM w", "g13_weighted_digraph")
 
 
+_TOPICS = "tp AS (SELECT entity_value, entity_type FROM e WHERE entity_type IN ('tech', 'org', 'event') GROUP BY 1, 2 HAVING count(*) >= 3)"
+
+
 @query(
-    "g11_edge_counts",
-    f"WITH {_GRAPH} SELECT 'Messaged' AS edge, count(*) AS n_rows FROM dm UNION ALL SELECT 'MemberOf', count(*) FROM mo UNION ALL SELECT 'Conversed', count(*) FROM cv UNION ALL SELECT 'Mentions', count(*) FROM me UNION ALL SELECT 'Person', count(*) FROM p",
+    "g11_graph_counts",
+    f"""WITH {_GRAPH}, {_CO}, {_TOPICS} SELECT 'Messaged' AS label, count(*) AS n_rows FROM dm UNION ALL SELECT 'MemberOf', count(*) FROM mo UNION ALL SELECT 'CoOccurs', count(*) FROM co
+UNION ALL SELECT 'Conversed', count(*) FROM cv UNION ALL SELECT 'Mentions', count(*) FROM me UNION ALL SELECT 'DiscussesTopic', count(*) FROM me JOIN tp USING (entity_type, entity_value)
+UNION ALL SELECT 'Person', count(*) FROM p UNION ALL SELECT 'ChatGroup', count(*) FROM c WHERE is_group UNION ALL SELECT 'Topic', count(*) FROM tp
+UNION ALL SELECT 'Entity', count(*) FROM (SELECT DISTINCT entity_type, entity_value FROM e)""",
 )
 def _(spark, root):
     parts = graph_parts(spark, root)
-    return graph.graph_counts({"Messaged": parts["messaged"], "MemberOf": parts["member_of"], "Conversed": parts["conversed"], "Mentions": parts["mentions"], "Person": parts["persons"]}).withColumnRenamed("table_name", "edge")
+    return graph.graph_counts({label: parts[relation] for labels in graph.GRAPH.values() for label, relation in labels.items()}).withColumnRenamed("table_name", "label")
 
 
-@query("g12_graph_declaration", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{label}', '{rel}')" for k, d in graph.GRAPH.items() for label, rel in d.items()) + ") AS v(part, label, relation)")
+@query(
+    "g12_graph_declaration",
+    """SELECT * FROM (VALUES ('vertices', 'Person', 'source_id,source,display_name,push_name,full_name'), ('vertices', 'ChatGroup', 'group_jid,group_name,member_count'),
+('vertices', 'Topic', 'topic_name,source,message_count'), ('vertices', 'Entity', 'entity_type,entity_value,mention_count'),
+('edges', 'Messaged', 'receiver,sender,message_count,first_us,last_us'), ('edges', 'MemberOf', 'person,group_jid,message_count,first_us,last_us'), ('edges', 'CoOccurs', 'person1,person2,shared_groups'),
+('edges', 'Conversed', 'person1,person2,group_jid,exchange_count,first_us,last_us'), ('edges', 'DiscussesTopic', 'person,topic_name,source,mention_count'),
+('edges', 'Mentions', 'person,entity_type,entity_value,mention_count')) AS v(part, label, columns)""",
+)
 def _(spark, root):
-    return spark.createDataFrame([(k, label, rel) for k, d in graph.GRAPH.items() for label, rel in d.items()], "part string, label string, relation string")
-
-
-_RANK_STEPS = 4
-
+    """What is declared, with the columns that the relations behind it really have."""
+    parts = graph_parts(spark, root)
+    rows = [(k, label, ",".join(parts[relation].columns)) for k, labels in graph.GRAPH.items() for label, relation in labels.items()]
+    return spark.createDataFrame(rows, "part string, label string, columns string")
 
-def _rank_sql() -> str:
-    seed = "s AS (SELECT person AS node, count(*)::DOUBLE / sum(count(*)) OVER () AS p FROM mo GROUP BY person ORDER BY count(*) DESC, person LIMIT 5)"
-    seed = "z AS (SELECT person AS node, count(*) AS n FROM mo GROUP BY person ORDER BY n DESC, person LIMIT 5), s AS (SELECT node, n::DOUBLE / sum(n) OVER () AS p FROM z)"
-    text = f"WITH {_GRAPH}, {_W}, {seed}, v AS (SELECT src AS node FROM w UNION SELECT dst FROM w), o AS (SELECT src, sum(weight) AS total FROM w GROUP BY src), x0 AS (SELECT v.node, coalesce(s.p, 0) AS x FROM v LEFT JOIN s ON v.node = s.node)"
-    for i in range(_RANK_STEPS):
-        text += (
-            f", x{i + 1} AS (SELECT v.node, 0.85::DOUBLE * (coalesce(f.flow, 0) + (SELECT coalesce(sum(x), 0) FROM x{i} WHERE node NOT IN (SELECT src FROM o)) * coalesce(s.p, 0)) + 0.15::DOUBLE * coalesce(s.p, 0) AS x "
-            f"FROM v LEFT JOIN s ON v.node = s.node LEFT JOIN (SELECT w.dst, sum(y.x * w.weight / o.total) AS flow FROM x{i} y JOIN w ON y.node = w.src JOIN o ON o.src = w.src GROUP BY w.dst) f ON f.dst = v.node)"
-        )
-    return text + f" SELECT node, round(x, 8) AS score FROM x{_RANK_STEPS}"
 
+#: Both sides iterate until nothing moves within twelve digits, so that six are safe to compare.
+_RANK_SQL = f"""WITH RECURSIVE {_GRAPH}, {_W}, z AS (SELECT person AS node, count(*) AS n FROM mo GROUP BY person ORDER BY n DESC, person LIMIT 5), s AS (SELECT node, n::DOUBLE / sum(n) OVER () AS p FROM z),
+v AS (SELECT src AS node FROM w UNION SELECT dst FROM w), o AS (SELECT src, sum(weight) AS total FROM w GROUP BY src),
+r AS (SELECT v.node, coalesce(s.p, 0) AS p, o.total FROM v LEFT JOIN s ON v.node = s.node LEFT JOIN o ON o.src = v.node),
+step AS MATERIALIZED (SELECT a.node AS src, b.node AS dst, 0.85::DOUBLE * CASE WHEN a.total IS NULL THEN b.p ELSE coalesce(w.weight, 0) / a.total END + 0.15::DOUBLE * b.p AS share
+  FROM r a CROSS JOIN r b LEFT JOIN w ON w.src = a.node AND w.dst = b.node),
+x AS (SELECT 0 AS i, node, p AS score FROM r UNION ALL SELECT x.i + 1, step.dst, sum(x.score * step.share) FROM x JOIN step ON step.src = x.node WHERE x.i < 200 GROUP BY x.i + 1, step.dst)
+SELECT node, round(score, 6) AS score FROM x WHERE i = 200"""
 
-@query("g14_personalized_rank", _rank_sql())
-def _(spark, root):
-    from threadmill.session import cut_lineage
 
-    parts = graph_parts(spark, root)
-    edges = cut_lineage(parts["digraph"])
-    seeds = parts["member_of"].groupBy(F.col("person").alias("node")).agg(F.count(F.lit(1)).alias("weight")).orderBy(F.col("weight").desc(), "node").limit(5)
-    return graph.personalized_rank(edges, seeds, steps=_RANK_STEPS, tolerance=0.0).select("node", F.round("score", 8).alias("score"))
+def _busiest(parts, n: int) -> DataFrame:
+    """``node, weight``: the persons in most groups."""
+    return parts["member_of"].groupBy(F.col("person").alias("node")).agg(F.count(F.lit(1)).alias("weight")).orderBy(F.col("weight").desc(), "node").limit(n)
 
 
-@query("g14_converged_rank")
+@query("g14_personalized_rank", _RANK_SQL)
 def _(spark, root):
-    """The rank run to its tolerance; g14_personalized_rank stops where its SQL does."""
-    from threadmill.session import cut_lineage
-
     parts = graph_parts(spark, root)
-    seeds = parts["member_of"].groupBy(F.col("person").alias("node")).agg(F.count(F.lit(1)).alias("weight")).orderBy(F.col("weight").desc(), "node").limit(5)
-    return graph.personalized_rank(cut_lineage(parts["digraph"]), seeds, steps=100).select("node", F.round("score", 8).alias("score"))
+    return graph.personalized_rank(parts["talk"], _busiest(parts, 5), steps=200, tolerance=1e-14, hubs=parts["hubs"]).select("node", F.round("score", 6).alias("score"))
 
 
 @query("g15_flow_paths")
 def _(spark, root):
-    from threadmill.session import cut_lineage
-
     parts = graph_parts(spark, root)
-    edges = cut_lineage(parts["digraph"])
-    top = parts["member_of"].groupBy("person").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "person").limit(6).collect()  # six seeds
-    return graph.flow_paths(edges, [r["person"] for r in top])
+    top = _busiest(parts, 6).collect()  # six seeds
+    return graph.flow_paths(cut_lineage(parts["digraph"]), [r["node"] for r in top])
 
 
 def _undirected(spark, root):
@@ -501,13 +526,35 @@ def _(spark, root):
     return graph.communities(_undirected(spark, root))
 
 
+@query(
+    "g16_quality",
+    f"""WITH {_GRAPH}, {_CO}, u AS (SELECT least(sender, receiver) AS a, greatest(sender, receiver) AS b FROM dm UNION SELECT person1, person2 FROM cv UNION SELECT person1, person2 FROM co)
+SELECT (SELECT count(*) FROM (SELECT a FROM u WHERE a <> b UNION SELECT b FROM u WHERE a <> b)) AS placed, 0::BIGINT AS placed_twice, 0::BIGINT AS badly_named, true AS better_than_one""",
+)
+def _(spark, root):
+    """Invariants of the communities: every node in one, named by its smallest member, and better than the graph undivided."""
+    edges = cut_lineage(_undirected(spark, root))
+    member = cut_lineage(graph.communities(edges))
+    named = member.groupBy("community").agg(F.min("node").alias("least")).where("least <> community")
+    counts = member.agg(F.count_distinct("node").alias("placed"), (F.count(F.lit(1)) - F.count_distinct("node")).alias("placed_twice"))
+    return counts.crossJoin(named.agg(F.count(F.lit(1)).alias("badly_named"))).crossJoin(graph.modularity(edges, member).select((F.col("modularity") > 0).alias("better_than_one")))
+
+
 @query("g17_community_cards")
 def _(spark, root):
     parts = graph_parts(spark, root)
-    member = graph.communities(graph.undirected(parts["messaged"], parts["conversed"], parts["co_occurs"]))
+    member = cut_lineage(graph.communities(graph.undirected(parts["messaged"], parts["conversed"], parts["co_occurs"])))
     return graph.community_cards(member, parts["persons"], parts["member_of"], parts["groups"], parts["mentions"])
 
 
+@query("g17_stored_communities", f"WITH {_C}, {_P} SELECT source_id, true AS numbered FROM p")
+def _(spark, root):
+    """Persons with the number of their community, -1 for those in none."""
+    parts = graph_parts(spark, root)
+    stored = graph.store_communities(parts["persons"], graph.communities(graph.undirected(parts["messaged"], parts["conversed"], parts["co_occurs"])))
+    return stored.select("source_id", (F.col("community_id") >= -1).alias("numbered"))
+
+
 # ------------------------------------------------------------ entities
 
 
@@ -535,9 +582,29 @@ def _(spark, root):
 @query(
     "e4_normalised",
     f"""WITH {_E}, n AS (SELECT message_id, entity_type, entity_value, lower(trim(entity_value)) AS low FROM e)
-SELECT message_id, CASE WHEN entity_type = 'url' THEN entity_type ELSE coalesce(CASE low {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in entities.TYPES.items())} END, entity_type) END AS entity_type,
-CASE WHEN entity_type = 'url' THEN entity_value ELSE coalesce(CASE low {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in entities.ALIASES.items())} END, trim(entity_value)) END AS entity_value
-FROM n WHERE entity_type = 'url' OR (low NOT IN ({", ".join(f"'{w}'" for w in sorted(entities.STOP))}) AND length(low) >= 2 AND NOT starts_with(low, 'http') AND low NOT LIKE '%@%' AND NOT regexp_matches(low, '^[0-9]+$'))""",
+SELECT message_id, CASE WHEN entity_type = 'url' THEN entity_type ELSE coalesce(CASE low
+WHEN 'claude' THEN 'tech' WHEN 'claude code' THEN 'tech' WHEN 'chatgpt' THEN 'tech' WHEN 'gpt' THEN 'tech' WHEN 'gemini' THEN 'tech'
+WHEN 'copilot' THEN 'tech' WHEN 'cursor' THEN 'tech' WHEN 'openai' THEN 'org' WHEN 'anthropic' THEN 'org' WHEN 'whatsapp' THEN 'tech'
+WHEN 'linkedin' THEN 'tech' WHEN 'slack' THEN 'tech' WHEN 'kubernetes' THEN 'tech' WHEN 'docker' THEN 'tech' WHEN 'react' THEN 'tech'
+WHEN 'python' THEN 'tech' WHEN 'langchain' THEN 'tech' WHEN 'langgraph' THEN 'tech' WHEN 'autogpt' THEN 'tech' WHEN 'gpu' THEN 'tech'
+WHEN 'mcp' THEN 'tech' WHEN 'aws' THEN 'tech' WHEN 'github' THEN 'tech' WHEN 'phd' THEN 'org'
+END, entity_type) END AS entity_type,
+CASE WHEN entity_type = 'url' THEN entity_value ELSE coalesce(CASE low
+WHEN 'claude code' THEN 'Claude Code' WHEN 'cc' THEN 'Claude Code' WHEN 'claude' THEN 'Claude' WHEN 'chatgpt' THEN 'ChatGPT' WHEN 'gpt' THEN 'GPT'
+WHEN 'openai' THEN 'OpenAI' WHEN 'anthropic' THEN 'Anthropic' WHEN 'gemini' THEN 'Gemini' WHEN 'copilot' THEN 'Copilot' WHEN 'cursor' THEN 'Cursor'
+WHEN 'langchain' THEN 'LangChain' WHEN 'langgraph' THEN 'LangGraph' WHEN 'kubernetes' THEN 'Kubernetes' WHEN 'k8s' THEN 'Kubernetes'
+WHEN 'docker' THEN 'Docker' WHEN 'react' THEN 'React'
+END, trim(entity_value)) END AS entity_value
+FROM n WHERE entity_type = 'url' OR (low NOT IN (
+'2024', '2025', '2026', '2027', 'a', 'africa', 'ai', 'amazon', 'an', 'api', 'apple', 'april', 'august', 'austin', 'b2b', 'b2c', 'bangalore',
+'bengaluru', 'bhai', 'ca', 'canada', 'cc', 'ceo', 'chandigarh', 'chennai', 'china', 'christmas', 'cli', 'cto', 'cv', 'daily', 'december', 'delhi',
+'diwali', 'dl', 'dm', 'dming', 'dubai', 'europe', 'february', 'friday', 'google', 'gtm', 'gurgaon', 'haha', 'hai', 'hello', 'hey', 'hi', 'holi', 'hr',
+'hyderabad', 'india', 'intro', 'ip', 'it', 'jaipur', 'january', 'japan', 'ji', 'july', 'june', 'kolkata', 'last week', 'llm', 'lol', 'london', 'march',
+'max', 'may', 'meta', 'microsoft', 'ml', 'monday', 'mumbai', 'new york', 'next week', 'nlp', 'no', 'noida', 'november', 'october', 'ok', 'one', 'ops',
+'oss', 'ot', 'pm', 'pr', 'pune', 'qa', 'rl', 'saas', 'san francisco', 'saturday', 'sdk', 'september', 'sf', 'singapore', 'sir', 'spc', 'sunday', 'swe',
+'thank', 'thanks', 'that', 'the', 'this', 'three', 'thursday', 'time', 'today', 'tomorrow', 'tuesday', 'two', 'ui', 'uk', 'us', 'usa', 'ux', 'vc',
+'wednesday', 'weekly', 'yes', 'yesterday'
+) AND length(low) >= 2 AND NOT starts_with(low, 'http') AND low NOT LIKE '%@%' AND NOT regexp_matches(low, '^[0-9]+$'))""",
 )
 def _(spark, root):
     return entities.normalised(_entities(spark, root)).drop("chat_jid")
@@ -548,6 +615,26 @@ def _(spark, root):
     return entities.merged(_entities(spark, root))
 
 
+@query("e6_related_parts", f"""WITH {_E}, n AS (SELECT entity_type, entity_value, lower(entity_value) AS low, count(*) AS n FROM e WHERE entity_type <> 'url' GROUP BY 1, 2, 3 HAVING count(*) >= 2)
+SELECT a.entity_type, a.entity_value, b.entity_value AS other, CASE WHEN a.low = b.low THEN 'case' ELSE 'part' END AS relation FROM n a JOIN n b ON a.entity_type = b.entity_type AND (a.n < b.n OR a.n = b.n AND a.entity_value > b.entity_value)
+WHERE a.low = b.low OR (length(a.low) > 3 AND length(b.low) > 3 AND (contains(a.low, b.low) OR contains(b.low, a.low)))""")
+def _(spark, root):
+    """The pairs of the merge plan that SQL can tell: equal but for case, or one within the other."""
+    counts = _entities(spark, root).where("entity_type <> 'url'").groupBy("entity_type", "entity_value").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    return entities.related(counts).where("relation <> 'alike'").select("entity_type", "entity_value", "other", "relation")
+
+
+@query("e6_renamed_values", f"WITH {_E} SELECT count(DISTINCT message_id) AS messages, 0::BIGINT AS old_values_left, true AS no_more_rows FROM e")
+def _(spark, root):
+    """Entities after the plan: no message lost, no value left that was renamed and is nobody's new name."""
+    found = cut_lineage(_entities(spark, root))
+    plan = cut_lineage(entities.merged(found))
+    done = entities.renamed_entities(found, plan)
+    left = done.select(F.col("entity_value").alias("old")).distinct().join(plan.select("old"), "old", "left_semi").join(plan.select(F.col("new").alias("old")), "old", "left_anti")
+    counted = done.agg(F.count_distinct("message_id").alias("messages"), F.count(F.lit(1)).alias("rows"))
+    return counted.crossJoin(left.agg(F.count(F.lit(1)).alias("old_values_left"))).crossJoin(found.agg(F.count(F.lit(1)).alias("before"))).select("messages", "old_values_left", (F.col("rows") <= F.col("before")).alias("no_more_rows"))
+
+
 @query("e7_entity_statistics", f"WITH {_E} SELECT entity_type, count(*) AS mentions, count(DISTINCT entity_value) AS unique_values FROM e GROUP BY entity_type")
 def _(spark, root):
     return entities.statistics(_entities(spark, root))
@@ -555,19 +642,26 @@ def _(spark, root):
 
 # ------------------------------------------------------------ retrieval
 
-_QUERY = "meet at the north gate"
-_BM25 = """d AS (SELECT id, chat_jid, list_filter(string_split_regex(lower(text_content), '[^a-z]+'), lambda t: t <> '') AS terms FROM m WHERE text_content IS NOT NULL),
+_QUERY = "meeting at the north gates"
+_STOPPED = (
+    "'a','about','above','after','again','against','all','am','an','and','any','are','as','at','be','because','been','before','being','below','between','both','but','by','can','could','did','do','does','doing','down','during',"
+    "'each','few','for','from','further','had','has','have','having','he','her','here','hers','herself','him','himself','his','how','i','if','in','into','is','it','its','itself','just','me','more','most','my','myself','no','nor',"
+    "'not','now','of','off','on','once','only','or','other','our','ours','ourselves','out','over','own','same','she','should','so','some','such','than','that','the','their','theirs','them','themselves','then','there','these',"
+    "'they','this','those','through','to','too','under','until','up','very','was','we','were','what','when','where','which','while','who','whom','why','will','with','would','you','your','yours','yourself','yourselves'"
+)
+_BM25 = f"""d AS (SELECT id, chat_jid, list_filter(string_split_regex(strip_accents(lower(text_content)), '[^a-z]+'), lambda t: t <> '' AND t NOT IN ({_STOPPED})) AS terms FROM m WHERE text_content IS NOT NULL),
 g AS (SELECT count(*) AS n, avg(len(terms)) AS mean_length FROM d),
-tf AS (SELECT id, chat_jid, term, count(*) AS tf, any_value(l) AS l FROM (SELECT id, chat_jid, len(terms) AS l, unnest(terms) AS term FROM d) WHERE term IN ('meet', 'at', 'the', 'north', 'gate') GROUP BY 1, 2, 3),
+st AS (SELECT id, chat_jid, l, CASE WHEN term IN ('meet', 'meets', 'meeting', 'meetings') THEN 'meet' WHEN term IN ('north', 'norths') THEN 'north' WHEN term IN ('gate', 'gates', 'gated', 'gating') THEN 'gate' END AS term
+  FROM (SELECT id, chat_jid, len(terms) AS l, unnest(terms) AS term FROM d)),
+tf AS (SELECT id, chat_jid, term, count(*) AS tf, any_value(l) AS l FROM st WHERE term IS NOT NULL GROUP BY 1, 2, 3),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 b AS (SELECT id, chat_jid, sum(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / mean_length))) AS score FROM tf JOIN df USING (term) CROSS JOIN g GROUP BY 1, 2)"""
 
 
 @query("r1_bm25", f"WITH {_M}, {_BM25} SELECT id, chat_jid, round(score, 6) AS score FROM b")
 def _(spark, root):
-    m = _messages(spark, root, "text_content")
-    index = retrieval.TextIndex.build(m)
-    return index.search(_QUERY, 2_000_000_000).select("id", "chat_jid", F.round("score", 6).alias("score"))
+    index = retrieval.TextIndex.build(_messages(spark, root, "text_content"))
+    return index.scores(_QUERY).select("id", "chat_jid", F.round("score", 6).alias("score"))
 
 
 def _query_vectors(spark, root) -> list[list[float]]:
@@ -623,14 +717,25 @@ def _(spark, root):
     return found.select("id", "chat_jid", F.size("thread").cast("bigint").alias("n_texts"), F.round("conversation_boost", 6).alias("conversation_boost"))
 
 
-def _search(spark, root):
-    from threadmill.session import cut_lineage
+_OWNER = "155599999999@s.whatsapp.net"
+
 
-    m = cut_lineage(reader(spark, root)("messages").where("embedding is not null").select("id", "chat_jid", F.slice("embedding", 1, 4096).alias("embedding")).dropDuplicates(["id", "chat_jid"]))
+def _search(spark, root, depth: str = "balanced", text: str = _QUERY):
+    m = cut_lineage(reader(spark, root)("messages").where("embedding is not null").select("id", "chat_jid", "embedding").dropDuplicates(["id", "chat_jid"]))
     full = _messages(spark, root, "text_content", names=True).join(m, ["id", "chat_jid"], "left")
     parts = graph_parts(spark, root)
     parts["digraph"] = cut_lineage(parts["digraph"])
-    return retrieval.run_search(_QUERY, _query_vectors(spark, root), full, _contacts(spark, root), parts, retrieval.TextIndex.build(full)), parts
+    stored = _query_vectors(spark, root)
+    # no embedder is at hand: the variants have stored vectors
+    found = retrieval.run_search(text, lambda texts: stored[: len(texts)], full, _contacts(spark, root), parts, retrieval.TextIndex.build(full), depth, expand=lambda query, n: [f"{query} ({i})" for i in range(n)])
+    return found, parts
+
+
+@query("r4_vectors_alone", f"WITH {_SIM.replace('vec_id < 3', 'vec_id < 1')}, k AS (SELECT similarity FROM s WHERE similarity IS NOT NULL AND NOT isnan(similarity) ORDER BY round(similarity, 9) DESC, id, chat_jid LIMIT 30) SELECT round(similarity, 8) AS rrf_score FROM k")
+def _(spark, root):
+    """A query of whose words no text holds one: the similarity is the score."""
+    found, _ = _search(spark, root, "fast", "zyxgfd")
+    return found["results"].select(F.round("rrf_score", 8).alias("rrf_score"))
 
 
 @query("r10_people")
@@ -642,7 +747,13 @@ def _(spark, root):
 @query("r11_connections")
 def _(spark, root):
     found, parts = _search(spark, root)
-    return retrieval.connections(found["people"], parts["conversed"], "155599999999@s.whatsapp.net")
+    return retrieval.connections(found["people"], parts["conversed"], _OWNER)
+
+
+@query("r11_insights")
+def _(spark, root):
+    found, parts = _search(spark, root, "deep")
+    return retrieval.insights(found["people"], parts["conversed"], parts["groups"], _OWNER)
 
 
 @query("r13_search_json")
@@ -651,6 +762,17 @@ def _(spark, root):
     return retrieval.as_json(found["results"], found["people"])
 
 
+@query(
+    "sc18_embedded",
+    """SELECT DISTINCT id, chat_jid, length(text_content)::DOUBLE AS first, 2.0::DOUBLE AS second FROM messages WHERE text_content IS NOT NULL AND trim(text_content) <> ''""",
+)
+def _(spark, root):
+    """Every text through an embedder, here one that counts code points."""
+    texts = _messages(spark, root, "text_content").select("id", "chat_jid", F.col("text_content").alias("embedding_text"))
+    made = retrieval.embedded(texts, lambda batch: [(float(len(t)), 2.0) for t in batch], limit=1_000_000)
+    return made.select("id", "chat_jid", F.col("embedding")[0].cast("double").alias("first"), F.col("embedding")[1].cast("double").alias("second"))
+
+
 @query(
     "r14_neighbour_expansion",
     f"""WITH {_GRAPH}, z AS (SELECT person AS node, count(*) AS n FROM mo GROUP BY person ORDER BY n DESC, person LIMIT 5),
