@@ -1,7 +1,7 @@
 import itertools
 import random
 
-from threadmill.llm.cooccur import associations, collapsed_baskets
+from threadmill.llm.cooccur import associations, collapsed_baskets, item_pairs
 
 
 def test_against_brute_force(spark):
@@ -28,3 +28,11 @@ def test_against_brute_force(spark):
 def test_equal_baskets_are_counted_once(spark):
     df = spark.createDataFrame([(m, v) for m in range(50) for v in "ab"], "m int, v string")
     assert [(r["items"], r["weight"]) for r in collapsed_baskets(df, "m", "v").collect()] == [(["a", "b"], 50)]
+
+
+def test_a_large_basket_gives_the_same_pairs_in_parts(spark):
+    baskets = [([f"v{i:02d}" for i in range(17)], 3), (["v03", "v09"], 2), (["v01"], 5)]
+    df = spark.createDataFrame(baskets, "items array<string>, weight bigint")
+    want = {(a, b): 3 + 2 * ((a, b) == ("v03", "v09")) for a, b in itertools.combinations(baskets[0][0], 2)}
+    for large in (256, 4, 1):
+        assert {(r["value_a"], r["value_b"]): r["n_ab"] for r in item_pairs(df, large).collect()} == want

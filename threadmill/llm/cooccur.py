@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadmill.session import cut_lineage
+
 
 def collapsed_baskets(records: DataFrame, basket: str, item: str) -> DataFrame:
     """``items, weight``: each distinct sorted array of items and how many records have it."""
@@ -21,14 +23,26 @@ def collapsed_baskets(records: DataFrame, basket: str, item: str) -> DataFrame:
     return arrays.groupBy("items").agg(F.count(F.lit(1)).alias("weight"))
 
 
-def item_pairs(baskets: DataFrame) -> DataFrame:
-    """``value_a, value_b, n_ab`` for all pairs, each enumerated once a distinct basket."""
-    first = baskets.where(F.size("items") > 1).select("weight", "items", F.posexplode("items").alias("at", "value_a"))
-    return (
-        first.select("weight", "value_a", F.explode(F.expr("slice(items, at + 2, size(items))")).alias("value_b"))
-        .groupBy("value_a", "value_b")
-        .agg(F.sum("weight").alias("n_ab"))
-    )
+#: A basket of more items is enumerated by joins of its parts, so that no task has all its pairs.
+LARGE_BASKET = 256
+
+
+def item_pairs(baskets: DataFrame, large: int = LARGE_BASKET) -> DataFrame:
+    """``value_a, value_b, n_ab`` for all pairs, each enumerated once a distinct basket.
+
+    The items of a large basket are dealt out over one part in ``large`` of
+    them, and each part meets all items, in tasks of its own.
+    """
+    baskets = cut_lineage(baskets.where(F.size("items") > 1))
+    first = baskets.where(F.size("items") <= large).select("weight", "items", F.posexplode("items").alias("at", "value_a"))
+    pairs = first.select("weight", "value_a", F.explode(F.expr("slice(items, at + 2, size(items))")).alias("value_b"))
+    # numbered between two checkpoints, so that a task that runs again gives the same numbers
+    wide = cut_lineage(baskets.where(F.size("items") > large).withColumn("basket", F.monotonically_increasing_id()))
+    wide = wide.select("basket", "weight", F.ceil(F.size("items") / large).cast("int").alias("parts"), F.posexplode("items").alias("at", "value"))
+    one = wide.select("basket", "weight", F.pmod("at", "parts").alias("part"), "at", F.col("value").alias("value_a"))
+    two = wide.select("basket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("at").alias("at_b"), F.col("value").alias("value_b"))
+    pairs = pairs.unionByName(one.join(two, ["basket", "part"]).where("at < at_b").select("weight", "value_a", "value_b"))
+    return pairs.groupBy("value_a", "value_b").agg(F.sum("weight").alias("n_ab"))
 
 
 def associations(records: DataFrame, basket: str, item: str, min_together: int = 3, min_lift: float = 5.0) -> DataFrame:
