@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from threadmill.llm.mixing import close_gap, mixture, mixture_report, plan_mixture, rake
+from threadmill.llm.mixing import close_gap, mixture, mixture_faults, mixture_report, plan_mixture, rake
 
 
 def test_rake_meets_both_marginals():
@@ -49,3 +49,16 @@ def test_mixture_reaches_shares(spark):
     assert report["d"]["reached_share"] == 0
     assert mixture(docs.limit(0), targets).count() == 0
     assert mixture(docs, targets.limit(0)).agg(F.sum("uses")).first()[0] == 0
+
+
+def test_sources_of_long_documents_close_their_gap(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(["word"] * rng.randint(600, 900)), "en", "long") for i in range(60)] + [(100 + i, " ".join(["word"] * rng.randint(1, 60)), "en", "short") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    targets = spark.createDataFrame([("long", 0.55, 1), ("short", 0.45, 2)], "source string, target_share double, max_repeats int")
+    mixed = mixture(docs, targets)
+    told = mixture_faults(mixed, targets, docs).first()
+    assert (told["twice"], told["over_cap"], told["below_none"], told["lost"]) == (0, 0, 0, 0)
+    report = {r["source"]: r for r in mixture_report(mixed, targets).collect()}
+    # within one document, and nothing shorter than the gap was left unused
+    assert abs(report["long"]["reached_share"] - 0.55) < 0.02

@@ -1,7 +1,7 @@
 import itertools
 import random
 
-from threadmill.llm.names import Lexicon, variant_pairs
+from threadmill.llm.names import Lexicon, _spelled_alike, variant_classes, variant_pairs
 from threadmill.llm.spelling import edits, segment_join, tokens_of
 
 
@@ -52,3 +52,26 @@ def test_pairs(spark):
     want = {("contact", a, b) for a, b in itertools.combinations(sorted(same), 2)} | {("entity", *sorted(p)) for group in (tech, org) for p in itertools.combinations(group, 2)}
     assert found == want
     assert variant_pairs(contacts.limit(0), entities.limit(0), nick).count() == 0
+    classes = [tuple(r) for r in variant_classes(contacts, entities, nick).collect()]
+    of = {}
+    for kind, key, class_id, n in classes:
+        of.setdefault((kind, class_id, n), set()).add(key)
+    assert all(len(keys) == n and min(keys) == class_id for (_, class_id, n), keys in of.items())
+    assert set(same) in of.values() and set(tech) in of.values() and set(org) in of.values()
+
+
+def test_misspelt_given_names_are_looked_up():
+    rng = random.Random(6)
+    given = {"".join(rng.choice("abcde") for _ in range(rng.randint(4, 8))) for _ in range(120)}
+    lex = Lexicon(frozenset(given), {}, frozenset())
+    for _ in range(400):
+        token = "".join(rng.choice("abcde") for _ in range(rng.randint(4, 8)))
+        close = [g for g in given if edits(g, token, 1) <= 1]
+        assert lex._near(token) == (min(close) if close else None)
+
+
+def test_spellings_follow_the_whole_chain(spark):
+    # each within one edit of the next, ever more frequent
+    chain = ["brandon", "brandan", "brandax", "brantax", "brantix", "krantix"]
+    cores = spark.createDataFrame([("person", c, i + 1) for i, c in enumerate(chain)] + [("person", "unlike", 9)], "what string, core string, n bigint")
+    assert {r["core"]: r["rep"] for r in _spelled_alike(cores, 1).collect()} == {c: "krantix" for c in chain[:-1]}

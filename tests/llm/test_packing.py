@@ -4,7 +4,7 @@ from collections import Counter
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from threadmill.llm.packing import fill_report, pack, plan_patterns
+from threadmill.llm.packing import fill_report, pack, packing_faults, plan_patterns
 
 
 @settings(max_examples=60, deadline=None)
@@ -52,3 +52,12 @@ def test_pack_covers_all_and_leaves_little(spark):
     report = fill_report(found).first()
     assert report["containers"] <= report["least_containers"] * 1.02 + 1
     assert pack(df.limit(0), "doc_id", "n_tokens").count() == 0
+
+
+def test_faults_are_told(spark):
+    documents = spark.createDataFrame([(1, 30), (2, 80), (3, 250), (4, 0)], "doc_id bigint, n_tokens bigint")
+    packed = pack(documents, "doc_id", "n_tokens", 100)
+    assert packing_faults(packed, documents, 100).first().asDict() == {"placed": 3, "split_needlessly": 0, "torn": 0, "over_full": 0, "tight": True, "lost": 0}
+    bad = spark.createDataFrame([(1, 0, 0, 0, 30), (2, 0, 0, 0, 50), (2, 1, 0, 50, 30), (3, 0, 1, 0, 100)], "doc_id bigint, piece_no int, container_no bigint, start bigint, size int")
+    told = packing_faults(bad, documents, 100).first()
+    assert (told["over_full"], told["split_needlessly"], told["lost"]) == (1, 1, 1)

@@ -8,7 +8,7 @@ expected number of uses of each of its documents and never exceeds the cap of
 its source.  Documents are then drawn by systematic sampling with these
 calibrated probabilities, in shards, ordered by length, which leaves each source
 within about one document of its target; a last round adds or drops single uses
-of short documents to close that gap.
+of documents no longer than that gap to close it.
 
 The tables carry no topics; the form of a text (prose, list, chat lines) stands
 in for the third marginal.
@@ -27,10 +27,6 @@ from threadmill.session import cut_lineage
 #: About as many documents of a cell share a shard when uses are drawn.
 SHARD_DOCS = 500_000
 
-#: Only documents of at most so many tokens take part in the closing round; it
-#: bounds the histogram that the driver sees to sources x this many lengths.
-CLOSING_TOKENS = 512
-
 
 def text_form(text) -> F.Column:
     """``list``, ``chat`` or ``prose`` by the labels at the starts of lines."""
@@ -149,13 +145,16 @@ def mixture(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULA
     drawn = cut_lineage(drawn.select("doc_id", "source", "n_tokens", cap.alias("_cap"), F.least(uses, cap).alias("uses")))
 
     got = {r["source"]: r["got"] for r in drawn.where("_cap > 0").groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("got")).collect()}
-    short = drawn.where((F.col("_cap") > 0) & F.col("n_tokens").between(1, CLOSING_TOKENS)).groupBy("source", "n_tokens")
+    gaps = {source: want - got.get(source, 0) for source, want in planned.groupby("source")["wanted"].first().items()}
+    # a longer document would overshoot; so there are at most as many lengths as the gaps have tokens, about one document a source
+    reach = spark.createDataFrame([(source, int(abs(gap))) for source, gap in gaps.items()], "source string, _gap bigint")
+    short = drawn.where("_cap > 0").join(F.broadcast(reach), "source").where(F.col("n_tokens").between(1, F.col("_gap"))).groupBy("source", "n_tokens")
     pools = short.agg(F.count_if(F.col("uses") < F.col("_cap")).alias("addable"), F.count_if(F.col("uses") > 0).alias("droppable")).toPandas()
     changes = []
-    for source, want in planned.groupby("source")["wanted"].first().items():
+    for source, gap in gaps.items():
         pool = pools[pools["source"] == source]
         addable, droppable = (dict(zip(pool["n_tokens"], pool[c])) for c in ("addable", "droppable"))
-        changes += [(source, int(length), n) for length, n in close_gap(want - got.get(source, 0), addable, droppable).items()]
+        changes += [(source, int(length), n) for length, n in close_gap(gap, addable, droppable).items()]
     closing = spark.createDataFrame(changes, "source string, n_tokens bigint, _change bigint")
     able = F.when(F.col("_change") > 0, F.col("uses") < F.col("_cap")).otherwise(F.col("uses") > 0) & (F.col("_cap") > 0)
     marked = drawn.join(F.broadcast(closing), ["source", "n_tokens"], "left").withColumn("_able", F.coalesce(able & F.col("_change").isNotNull(), F.lit(False)))
@@ -188,3 +187,18 @@ def mixture_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
             "max_repeats",
         )
     )
+
+
+def mixture_faults(mixed: DataFrame, targets: DataFrame, documents: DataFrame) -> DataFrame:
+    """One row of what must be none: documents lost or listed twice, uses over the cap of a source, uses without a target; and whether all shares are met within one in a thousand."""
+    caps = targets.groupBy("source").agg(F.max("max_repeats").alias("cap"))
+    told = mixed.join(F.broadcast(caps), "source", "left")
+    report = mixture_report(mixed, targets).where("held_tokens > 0")
+    counts = told.agg(
+        (F.count(F.lit(1)) - F.count_distinct("doc_id")).alias("twice"),
+        F.count_if(F.col("uses") > F.coalesce("cap", F.lit(0))).alias("over_cap"),
+        F.count_if(F.col("uses") < 0).alias("below_none"),
+        F.count(F.lit(1)).alias("listed"),
+    )
+    met = report.agg((F.max(F.abs(F.col("reached_share") - F.col("target_share"))) <= 0.001).alias("shares_met"))
+    return counts.crossJoin(documents.agg(F.count(F.lit(1)).alias("given"))).crossJoin(met).select("twice", "over_cap", "below_none", (F.col("given") - F.col("listed")).alias("lost"), "shares_met")

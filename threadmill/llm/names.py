@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadmill.llm.spelling import KINDS, edits, plain, segment_join, sound, tokens_of
+from threadmill.plans.graph import pairs_within
 from threadmill.session import cut_lineage
 
 RARITY = 500
@@ -34,6 +35,11 @@ EDITS = 1
 _ACRONYM = regex.compile(r"\s*(\p{Lu}{2,4})\s+\p{Lu}?\p{Ll}")
 
 
+def _with_one_dropped(token: str) -> set[str]:
+    """A token and what is left of it without any one letter."""
+    return {token, *(token[:i] + token[i + 1 :] for i in range(len(token)))}
+
+
 @dataclass
 class Lexicon:
     """Given names, what nicknames stand for, and kinds, all as sounds."""
@@ -43,6 +49,12 @@ class Lexicon:
     kinds: frozenset = frozenset()
 
     def __post_init__(self):
+        # two tokens within one edit become equal by dropping at most one letter of each
+        self._dropped: dict[str, list[str]] = {}
+        for name in (*self.given, *self.nicknames):
+            if len(name) > 3:
+                for part in _with_one_dropped(name):
+                    self._dropped.setdefault(part, []).append(name)
         self._near = functools.lru_cache(maxsize=200_000)(self._nearest_given)
         self._parts = functools.lru_cache(maxsize=200_000)(self._kinds_for)
 
@@ -57,7 +69,8 @@ class Lexicon:
         """The listed given name or nickname that a token misspells by one edit."""
         if len(token) < 4:
             return None
-        close = [g for g in (*self.given, *self.nicknames) if len(g) > 3 and abs(len(g) - len(token)) <= 1 and edits(g, token, 1) <= 1]
+        candidates = {g for part in _with_one_dropped(token) for g in self._dropped.get(part, ())}
+        close = [g for g in candidates if edits(g, token, 1) <= 1]
         return min(close, key=lambda g: (g not in self.given, g)) if close else None
 
     def _kinds_for(self, token: str) -> tuple[str, ...]:
@@ -169,15 +182,20 @@ def learn_lexicon(names: DataFrame, contacts: DataFrame, nicknames: DataFrame, r
 
 
 def _spelled_alike(cores: DataFrame, most: int) -> DataFrame:
-    """``what, core, rep``: the most frequent spelling within reach, over two steps."""
+    """``what, core, rep``: the most frequent spelling that a chain of ever more frequent ones, each within reach of the last, leads to."""
     counts = cores.groupBy("what", "core").agg(F.sum("n").alias("n"))
     near = segment_join(counts, "core", most)
     sides = near.select(F.col("a").alias("core"), F.col("b").alias("other")).unionByName(near.select(F.col("b").alias("core"), F.col("a").alias("other")))
     there = counts.select("what", F.col("core").alias("other"), F.col("n").alias("m"))
     up = sides.join(counts, "core").join(there, ["what", "other"]).where((F.col("m") > F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("other") < F.col("core"))))
-    parent = cut_lineage(up.groupBy("what", "core").agg(F.max_by("other", F.struct("m", "other")).alias("up")))
-    grand = parent.select("what", F.col("core").alias("up"), F.col("up").alias("top"))
-    return parent.join(grand, ["what", "up"], "left").select("what", "core", F.coalesce("top", "up").alias("rep"))
+    found = cut_lineage(up.groupBy("what", "core").agg(F.max_by("other", F.struct("m", "other")).alias("rep")))
+    while True:
+        # every pointer jumps to where its target points, so a chain of n takes log n rounds
+        further = found.select("what", F.col("core").alias("rep"), F.col("rep").alias("top"))
+        jumped = cut_lineage(found.join(further, ["what", "rep"], "left").select("what", "core", F.coalesce("top", "rep").alias("rep"), F.col("top").isNotNull().alias("moved")))
+        found = jumped.select("what", "core", "rep")
+        if jumped.where("moved").isEmpty():
+            return found
 
 
 def linked_names(names: DataFrame, lexicon: Lexicon, most: int = EDITS) -> DataFrame:
@@ -249,11 +267,27 @@ def typed_names(contacts: DataFrame, entities: DataFrame) -> DataFrame:
     )
 
 
-def variant_pairs(contacts: DataFrame, entities: DataFrame, nicknames: DataFrame) -> DataFrame:
-    """``pair_kind, key_a, key_b``: accounts or spellings of one person, organisation or product."""
+def variant_meanings(contacts: DataFrame, entities: DataFrame, nicknames: DataFrame) -> DataFrame:
+    """``source, key, what, rep, meaning``: what each account or spelling means; a key may mean several things."""
     names = cut_lineage(typed_names(contacts, entities))
     lexicon = learn_lexicon(names.select("name").distinct(), contacts, nicknames)
-    linked = cut_lineage(linked_names(names, lexicon).select("source", "key", "what", "rep", "meaning").distinct())
-    other = linked.select("source", F.col("key").alias("key_b"), "what", "rep", "meaning")
-    pairs = linked.join(other, ["source", "what", "rep", "meaning"]).where(F.col("key") < F.col("key_b"))
-    return pairs.select(F.col("source").alias("pair_kind"), F.col("key").alias("key_a"), "key_b").distinct()
+    return cut_lineage(linked_names(names, lexicon).select("source", "key", "what", "rep", "meaning").distinct())
+
+
+def variant_pairs(contacts: DataFrame, entities: DataFrame, nicknames: DataFrame) -> DataFrame:
+    """``pair_kind, key_a, key_b``: accounts or spellings of one person, organisation or product.
+
+    All pairs of one meaning are asked for; those of a very common one are made
+    in parts.  ``variant_classes`` gives the same in one row a key.
+    """
+    linked = variant_meanings(contacts, entities, nicknames)
+    pairs = pairs_within(linked, ["source", "what", "rep", "meaning"], "key", "key_a", "key_b").where(F.col("key_a") < F.col("key_b"))
+    return pairs.select(F.col("source").alias("pair_kind"), "key_a", "key_b").distinct()
+
+
+def variant_classes(contacts: DataFrame, entities: DataFrame, nicknames: DataFrame) -> DataFrame:
+    """``pair_kind, key, class_id, n_keys``: every account or spelling that means something, the smallest one of the same meaning, and how many there are."""
+    linked = variant_meanings(contacts, entities, nicknames)
+    meaning = ["source", "what", "rep", "meaning"]
+    classes = linked.groupBy(*meaning).agg(F.min("key").alias("class_id"), F.count(F.lit(1)).alias("n_keys"))
+    return linked.join(classes, meaning).select(F.col("source").alias("pair_kind"), "key", "class_id", "n_keys").distinct()

@@ -23,6 +23,8 @@ CAPACITY = 2048
 
 #: About as many items share a shard when ranks are counted.
 SHARD_ITEMS = 500_000
+#: Ranks of items of one length are below two to this power.
+_RANK_BITS = 48
 
 
 def _floor_index(counts: np.ndarray) -> np.ndarray:
@@ -105,20 +107,23 @@ def pack(items: DataFrame, key: str, size: str, capacity: int = CAPACITY, shard_
     slots, base, taken = [], 0, Counter()
     for times, pattern in plan_patterns(histogram, capacity):
         for length, n in pattern.items():
-            slots.append((length, taken[length], taken[length] + times * n, n, base))
+            slots.append((length, taken[length], n, base))
             taken[length] += times * n
         base += times
-    spark = items.sparkSession
-    plan = pd.DataFrame(slots, columns=["size", "_from", "_to", "_each", "_base"]).astype({"size": "int32"})
-    planned = spark.createDataFrame(plan, "size int, _from bigint, _to bigint, _each bigint, _base bigint")
+    # which rank of a length begins which stretch of containers; a rank finds its stretch by halving
+    plan = np.array(sorted(slots), dtype=np.int64).reshape(-1, 4)
+    starts = (plan[:, 0] << _RANK_BITS) + plan[:, 1]
+
+    @F.pandas_udf("bigint")
+    def container(sizes: pd.Series, ranks: pd.Series) -> pd.Series:
+        at = np.searchsorted(starts, (sizes.to_numpy(np.int64) << _RANK_BITS) + ranks.to_numpy(np.int64), side="right") - 1
+        return pd.Series(plan[at, 3] + (ranks.to_numpy(np.int64) - plan[at, 1]) // plan[at, 2])
 
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("size").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = per_shard.withColumn("_before", before).drop("_n")
     rank = F.row_number().over(Window.partitionBy("size", "_shard").orderBy(key, "piece_no")) - 1
     ranked = sharded.where("size > 0").withColumn("_rank", rank).join(offsets, ["size", "_shard"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
-    # the plan has a few rows a length at most, so it goes to every executor
-    placed = ranked.join(F.broadcast(planned), "size").where((F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
-    packed = placed.select(key, "piece_no", (F.col("_base") + F.floor((F.col("_rank") - F.col("_from")) / F.col("_each"))).cast("bigint").alias("container_no"), "start", "size")
+    packed = ranked.select(key, "piece_no", container("size", "_rank").alias("container_no"), "start", "size")
     roomless = pieces.where("size = 0").select(key, "piece_no", F.lit(None).cast("bigint").alias("container_no"), "start", "size")
     return packed.unionByName(roomless)
 
@@ -138,3 +143,18 @@ def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         F.ceil(F.sum("size") / capacity).alias("least_containers"),
         (1 - F.sum("size") / (F.count_distinct("container_no") * capacity)).alias("unused_share"),
     )
+
+
+def packing_faults(packed: DataFrame, documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row: how many documents are placed, and what must be none: containers over their capacity, documents split though they fit, pieces out of place; and whether at most one container in a hundred is more than the tokens need."""
+    held = packed.where("size > 0")
+    over = held.groupBy("container_no").agg(F.sum("size").alias("n")).where(F.col("n") > capacity).agg(F.count(F.lit(1)).alias("over_full"))
+    whole = held.groupBy("doc_id").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("pieces"), F.max(F.col("start") + F.col("size")).alias("end"))
+    told = whole.agg(
+        F.count(F.lit(1)).alias("placed"),
+        F.count_if((F.col("n") <= capacity) & (F.col("pieces") > 1)).alias("split_needlessly"),
+        F.count_if(F.col("n") != F.col("end")).alias("torn"),
+    )
+    rows = documents.agg(F.count(F.lit(1)).alias("given")).crossJoin(packed.where("piece_no = 0").agg(F.count(F.lit(1)).alias("listed")))
+    fill = fill_report(packed, capacity).select((F.col("containers") <= F.ceil(F.col("least_containers") * 1.01)).alias("tight"))
+    return told.crossJoin(over).crossJoin(fill).crossJoin(rows.select((F.col("given") - F.col("listed")).alias("lost")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadmill.llm import cooccur, mixing, names, neighbours, packing, pii, sentences, threads
+from threadmill.session import cut_lineage
 from threadmill.sources.tables import reader
 
 
@@ -14,6 +15,12 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return names.variant_pairs(t("contacts"), t("extracted_entities"), t("known_nicknames"))
 
 
+def p1_classes(spark: SparkSession, root: str) -> DataFrame:
+    """One row an account or spelling with the class of its meaning."""
+    t = reader(spark, root)
+    return names.variant_classes(t("contacts"), t("extracted_entities"), t("known_nicknames"))
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return neighbours.mutual_pairs(reader(spark, root)("messages"))
 
@@ -59,6 +66,12 @@ def p8_fill(spark: SparkSession, root: str) -> DataFrame:
     return packing.fill_report(packing.pack_documents(reader(spark, root)("documents")))
 
 
+def p8_checks(spark: SparkSession, root: str) -> DataFrame:
+    """What must hold of the packing, whatever the documents."""
+    documents = reader(spark, root)("documents")
+    return packing.packing_faults(cut_lineage(packing.pack_documents(documents)), documents)
+
+
 def p9_uses(spark: SparkSession, root: str) -> DataFrame:
     t = reader(spark, root)
     return mixing.mixture(t("documents"), t("mix_targets"))
@@ -69,11 +82,17 @@ def p9_shares(spark: SparkSession, root: str) -> DataFrame:
     return mixing.mixture_report(mixing.mixture(t("documents"), t("mix_targets")), t("mix_targets"))
 
 
+def p9_checks(spark: SparkSession, root: str) -> DataFrame:
+    """What must hold of the mixture, whatever the documents."""
+    t = reader(spark, root)
+    return mixing.mixture_faults(cut_lineage(mixing.mixture(t("documents"), t("mix_targets"))), t("mix_targets"), t("documents"))
+
+
 def p10_found(spark: SparkSession, root: str) -> DataFrame:
     return sentences.sentences(reader(spark, root)("documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_scores": p6_scores, "p7_found": p7_found, "p7_redacted": p7_redacted, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_uses": p9_uses, "p9_shares": p9_shares, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_scores": p6_scores, "p7_found": p7_found, "p7_redacted": p7_redacted, "p8_packed": p8_packed, "p8_fill": p8_fill, "p8_checks": p8_checks, "p9_uses": p9_uses, "p9_shares": p9_shares, "p9_checks": p9_checks, "p10_found": p10_found}
 
 _OWNER = threads.OWNER
 
@@ -106,4 +125,6 @@ FROM s JOIN g ON s.chat_jid = g.chat_jid AND s.session = g.session WHERE s.said
 SELECT value_a, value_b, n_ab, n_a, n_b, n, round(n_ab::DOUBLE * n / (n_a::DOUBLE * n_b), 6) AS lift,
        CASE WHEN n_ab < n_a THEN round((1 - n_b::DOUBLE / n) / (1 - n_ab::DOUBLE / n_a), 6) END AS conviction
 FROM q""",
+    "p8_checks": "SELECT count(*) FILTER (WHERE length(text) > 0) AS placed, 0::BIGINT AS split_needlessly, 0::BIGINT AS torn, 0::BIGINT AS over_full, true AS tight, 0::BIGINT AS lost FROM documents",
+    "p9_checks": "SELECT 0::BIGINT AS twice, 0::BIGINT AS over_cap, 0::BIGINT AS below_none, 0::BIGINT AS lost, true AS shares_met",
 }
