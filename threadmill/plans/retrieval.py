@@ -268,7 +268,7 @@ def variants_of(query: str, n: int, expand: Callable[[str, int], list[str]] | No
 
 def run_search(
     query: str,
-    embed: Callable[[list[str]], Sequence[Sequence[float]]],
+    embed: Callable[[list[str]], Sequence[Sequence[float]]] | None,
     messages: DataFrame,
     contacts: DataFrame,
     edges: dict[str, DataFrame],
@@ -283,17 +283,19 @@ def run_search(
 
     ``expand`` gives variants of the query, as many as the depth asks for, and
     ``embed`` their vectors; words are searched by the query itself.  Where no
-    text holds a word of it, vectors alone decide.  ``messages`` has the columns
+    text holds a word of it, vectors alone decide, and without an embedder words
+    do.  ``messages`` has the columns
     of ``plans.store.messages`` with ``text_content, push_name, embedding``;
     ``edges`` the graph's relations, ``talk`` and ``hubs`` among them.
     """
     n_variants, k, use_graph, iterations = DEPTHS[depth]
-    vectors = list(embed(variants_of(query, n_variants, expand)))
+    vectors = list(embed(variants_of(query, n_variants, expand))) if embed is not None else []
     pool = messages.where(wanted.predicate(time="time") if (wanted.after or wanted.before) else wanted.predicate())
     context = pool.select("id", "chat_jid", "sender", "us", "push_name", "text_content")
-    worded, near = cut_lineage(index.search(query, 3 * k, pool)), similar(pool, vectors, 3 * k)
+    worded = cut_lineage(index.search(query, 3 * k, pool))
+    near = [similar(pool, vectors, 3 * k)] if vectors else []
     # without a word found the similarity is the score
-    first = near.select("id", "chat_jid", F.col("similarity").alias("rrf_score"), "similarity") if worded.isEmpty() else fuse([worded, near])
+    first = near[0].select("id", "chat_jid", F.col("similarity").alias("rrf_score"), "similarity") if near and worded.isEmpty() else fuse([worded, *near])
     fused = cut_lineage(first.join(context, ["id", "chat_jid"]).orderBy(F.col("rrf_score").desc(), "id", "chat_jid").limit(3 * k))
     ranks = paths = None
     if use_graph and iterations >= 2:
@@ -301,7 +303,8 @@ def run_search(
         ranks = cut_lineage(graph.personalized_rank(edges["talk"], seeds, steps=steps, hubs=edges["hubs"]).where("score > 0").orderBy(F.col("score").desc(), "node").limit(50))
         theirs = pool.join(F.broadcast(ranks.orderBy(F.col("score").desc(), "node").limit(30).select(F.col("node").alias("sender"))), "sender", "left_semi")
         again = with_rank(fused.select("id", "chat_jid", "rrf_score", "similarity"), "rrf_score", 3 * k)
-        fused = cut_lineage(fuse([again, similar(theirs, vectors[:2], 2 * k)]).join(context, ["id", "chat_jid"]).orderBy(F.col("rrf_score").desc(), "id", "chat_jid").limit(4 * k))
+        more = [similar(theirs, vectors[:2], 2 * k)] if vectors else []
+        fused = cut_lineage(fuse([again, *more]).join(context, ["id", "chat_jid"]).orderBy(F.col("rrf_score").desc(), "id", "chat_jid").limit(4 * k))
         if iterations >= 3:
             names = [r["node"] for r in seeds.orderBy(F.col("weight").desc(), "node").limit(10).collect()]
             paths = graph.flow_paths(edges["digraph"], names)
