@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadmill.operators import incremental, sessions
-from threadmill.sources.tables import reader
+from threadmill.session import checkpoint_dir, cut_lineage
+from threadmill.sources.tables import blank, reader
 
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
@@ -23,6 +26,43 @@ def p2_gaps(spark: SparkSession, root: str) -> DataFrame:
     return incremental.gaps(t("stage_runs").select("stage").distinct(), available, done)
 
 
+def p2_resumed(spark: SparkSession, root: str) -> DataFrame:
+    """What the ledger lets three runs of ``embed`` process, the first of which dies after writing its rows: no message is left out or comes twice.
+
+    The runs that the log calls good are committed beforehand; then half of the
+    batches are there, and all of them in the end.
+    """
+    t = reader(spark, root)
+    arrivals = t("message_arrivals")
+    changes = incremental.newest_changes(arrivals, ["id", "chat_jid"], "batch_no", "arrival_no", "text_digest")
+    present = t("messages").where(~blank(F.col("text_content"))).select("id", "chat_jid").distinct()
+    due = cut_lineage(changes.join(present, ["id", "chat_jid"]))
+    good = [(r["low"], r["high"]) for r in incremental.good_ranges(t("stage_runs")).where("stage = 'embed'").collect()]  # the log is short
+    bounds = arrivals.agg(F.min("batch_no").alias("first"), F.max("batch_no").alias("last")).first()
+    available = [(bounds["first"], bounds["last"])] if bounds["first"] is not None else []
+    half = [(low, (low + high) // 2) for low, high in available]
+
+    def work(spans: list[incremental.Interval]) -> DataFrame:
+        batches = spark.createDataFrame([(int(a), int(b)) for a, b in spans], "low bigint, high bigint")
+        return due.join(F.broadcast(batches), F.col("change_batch").between(F.col("low"), F.col("high"))).select("id", "chat_jid")
+
+    class Dying(incremental.IntervalLedger):
+        def _publish(self, number, commit):
+            raise InterruptedError("the power went")
+
+    where = f"{checkpoint_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    ledger = incremental.IntervalLedger(spark, where, "embed")
+    ledger.run(good, lambda _: due.limit(0).select("id", "chat_jid"))
+    try:
+        Dying(spark, where, "embed").run(half, work)
+    except InterruptedError:
+        pass
+    ledger.run(half, work)
+    ledger.run(available, work)
+    found = ledger.output()
+    return found if found is not None else due.limit(0).select("id", "chat_jid")
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return sessions.chat_sessions(reader(spark, root)("messages")).drop("duration_us")
 
@@ -49,7 +89,7 @@ f AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY chat_jid ORDER BY us,
 s AS (SELECT *, sum(opens) OVER (PARTITION BY chat_jid ORDER BY us, id ROWS UNBOUNDED PRECEDING) AS session FROM f),
 g AS (SELECT chat_jid, min(us) AS start_us, max(us) AS end_us, count(*) AS n_messages FROM s GROUP BY chat_jid, session)"""
 
-QUERIES = {"p2_found": p2_found, "p2_gaps": p2_gaps, "p3_found": p3_found, "p3_durations": p3_durations}
+QUERIES = {"p2_found": p2_found, "p2_gaps": p2_gaps, "p2_resumed": p2_resumed, "p3_found": p3_found, "p3_durations": p3_durations}
 
 ORACLES = {
     "p2_found": f"""WITH {_GOOD},
@@ -75,3 +115,4 @@ SELECT chat_jid, count(*) AS n_sessions, CAST(sum(n_messages) AS BIGINT) AS n_me
        CAST(sum(end_us - start_us) AS BIGINT) AS active_us, max(end_us - start_us) AS longest_us
 FROM g GROUP BY chat_jid""",
 }
+ORACLES["p2_resumed"] = f"SELECT id, chat_jid FROM ({ORACLES['p2_found']}) WHERE stage = 'embed'"
