@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from threadmill.llm.mixing import close_gap, mixture, mixture_faults, mixture_report, plan_mixture, rake
+from threadmill.llm.mixing import close_gap, exchange, mixture, mixture_faults, mixture_report, plan_mixture, rake
 
 
 def test_rake_meets_both_marginals():
@@ -62,3 +62,21 @@ def test_sources_of_long_documents_close_their_gap(spark):
     report = {r["source"]: r for r in mixture_report(mixed, targets).collect()}
     # within one document, and nothing shorter than the gap was left unused
     assert abs(report["long"]["reached_share"] - 0.55) < 0.02
+
+
+def test_exchanged_uses_come_as_near_as_whole_documents_can():
+    assert exchange(-1194, 110, {50: 2, 60: 1}, {1304: 1}) == {1304: -1, 50: 1, 60: 1}
+    assert exchange(20, 120, {70: 2}, {50: 2}) == {50: -1, 70: 1}
+    assert exchange(3, 100, {90: 1}, {97: 1}) == {}
+
+
+def test_the_total_is_one_that_whole_documents_make(spark):
+    rows = [(i, " ".join(["word"] * n), "en", source) for i, (n, source) in enumerate([(164, "long"), (164, "long"), (76, "long"), (40, "short"), (1, "short"), (1, "short")])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    targets = spark.createDataFrame([("long", 0.6, 1), ("short", 0.3, 3), ("gone", 0.1, 1)], "source string, target_share double, max_repeats int")
+    mixed = mixture(docs, targets)
+    assert {r["source"]: r["used_tokens"] for r in mixture_report(mixed, targets).collect()} == {"long": 240, "short": 120, "gone": 0}
+    assert tuple(mixture_faults(mixed, targets, docs).first()) == (0, 0, 0, 0, True)
+    unused = mixed.withColumn("uses", F.lit(0))
+    assert not mixture_faults(unused, targets, docs).first()["shares_met"]
+    assert mixture_faults(mixed.limit(0), targets, docs.limit(0)).first()["shares_met"]
