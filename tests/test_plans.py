@@ -3,6 +3,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +72,57 @@ def test_flow_paths(spark):
     assert got == [("a", "b", ["a", "m", "b"], 2)]
 
 
+def test_every_node_that_passes_enough_sends(spark):
+    rows = [("a", f"m{i:03}", 1.0) for i in range(600)] + [(f"m{i:03}", "z", 1.0) for i in range(600)]
+    held = graph.resource_flow(spark.createDataFrame(rows, "src string, dst string, weight double"), spark.createDataFrame([("a",)], "node string"))
+    assert held.where("node = 'z'").first()["resource"] == pytest.approx(0.49)
+
+
+def _random_graph(spark):
+    draw = random.Random(5)
+    people = [f"p{i:02}" for i in range(40)]
+    direct = spark.createDataFrame([(draw.choice(people[:30]), draw.choice(people), 1 + i % 3) for i in range(40)], "sender string, receiver string, message_count bigint").groupBy("sender", "receiver").agg(F.sum("message_count").alias("message_count"))
+    talked = spark.createDataFrame([("p01", "p02", 4), ("p03", "p39", 1)], "person1 string, person2 string, exchange_count bigint")
+    members = spark.createDataFrame(sorted({(draw.choice(people), f"g{draw.randrange(9)}") for _ in range(25)}), "person string, group_jid string")
+    mentioned = spark.createDataFrame(sorted({(draw.choice(people), "org", f"e{draw.randrange(7)}") for _ in range(25)}), "person string, entity_type string, entity_value string")
+    return direct, talked, members, mentioned
+
+
+def test_flow_paths_through_hubs_are_those_of_their_pairs(spark):
+    direct, talked, members, mentioned = _random_graph(spark)
+    seeds = ["p01", "p07", "p20", "p33", "p39", "nobody"]
+    made = graph.flow_paths(graph.weighted_digraph(direct, talked, members, mentioned), seeds).collect()
+    got = graph.flow_paths(graph.talk_edges(direct, talked), seeds, hubs=graph.hubs_of(members, mentioned)).collect()
+    assert made and [r[:3] + (round(r["score"], 9), r["hops"]) for r in got] == [r[:3] + (round(r["score"], 9), r["hops"]) for r in made]
+    assert max(r["hops"] for r in got) > 1
+
+
+def test_weighted_digraph_by_blocks_and_by_joins(spark):
+    direct, talked, members, mentioned = _random_graph(spark)
+    weights = {}
+    for a, b, w in [(r[0], r[1], 3.0 * r[2]) for r in direct.collect()] + [(x, y, 5.0 * r[2]) for r in talked.collect() for x, y in (r[:2], r[1::-1])]:
+        weights[a, b] = weights.get((a, b), 0) + w
+    for rows, w in ((members.collect(), 1.0), (mentioned.collect(), 2.0)):
+        for one in rows:
+            for two in rows:
+                if one[0] != two[0] and one[1:] == two[1:]:
+                    weights[one[0], two[0]] = weights.get((one[0], two[0]), 0) + w
+    for block, dense in ((2_048, 20_000), (7, 0), (7, 20_000)):
+        got = [tuple(r) for r in graph.weighted_digraph(direct, talked, members, mentioned, block, dense).collect()]
+        assert len(got) == len(weights) and {(a, b): w for a, b, w in got} == weights
+
+
+def test_sums_of_small_and_large_lists():
+    rows, columns = pa.array([[0, 2], [1], [3, 1, 0]], pa.list_(pa.int32())), pa.array([[1], [0, 2], [2, 1]], pa.list_(pa.int32()))
+    wanted = np.zeros((4, 3))
+    for r, c, w in zip(rows.to_pylist(), columns.to_pylist(), (1.0, 2.0, 4.0)):
+        wanted[np.ix_(r, c)] += w
+    for small, most in ((4_096, 4_000_000), (0, 1), (2, 3), (9, 1)):
+        sums = np.zeros((4, 3))
+        graph._add_products(sums, np.array([1.0, 2.0, 4.0]), rows, columns, small, most)
+        assert (sums == wanted).all()
+
+
 @pytest.mark.parametrize("one_task", [500_000, 6])
 def test_communities_are_connected_and_better_than_one(spark, one_task):
     pairs = [(f"{g}{i}", f"{g}{j}", 1.0) for g in "pqr" for i in range(5) for j in range(i + 1, 5)] + [("p0", "q0", 0.5), ("q1", "r1", 0.5), ("s", "s", 9.0)]
@@ -277,3 +329,31 @@ def test_search_expands_embeds_and_falls_back(spark):
     assert "relationship" in told and "connection" in told
     lone, _ = _search(spark, "qqq", [], "fast")
     assert [round(r["rrf_score"], 6) for r in lone["results"].orderBy("rank").collect()] == [round(r["similarity"], 6) for r in lone["results"].orderBy("rank").collect()]
+
+
+def _sixty(spark):
+    """Sixty persons of one group, each with a message that holds the word; the digraph is not among the edges."""
+    who = [f"p{i:02}" for i in range(60)]
+    messages = spark.createDataFrame([(f"m{i:02}", "g", p, i * 600_000_000, False, True, "gate", p, [1.0, i / 60]) for i, p in enumerate(who)], "id string, chat_jid string, sender string, us bigint, mine boolean, grouped boolean, text_content string, push_name string, embedding array<float>")
+    contacts = spark.createDataFrame([(p, p, None, None, None, False) for p in who], "jid string, push_name string, full_name string, business_name string, group_name string, is_group boolean")
+    people = graph.persons(contacts)
+    member, direct, talked = graph.member_of(messages, people), graph.messaged(messages, people), graph.conversed(messages, people)
+    said = graph.mentions(messages, spark.createDataFrame([], "message_id string, chat_jid string, entity_type string, entity_value string"), people)
+    edges = {"persons": people, "groups": graph.groups(contacts, messages), "messaged": direct, "member_of": member, "conversed": talked, "mentions": said, "talk": graph.talk_edges(direct, talked), "hubs": graph.hubs_of(member, said)}
+    return retrieval.run_search("gate", lambda texts: [[1.0, 0.0]] * len(texts), messages, contacts, edges, retrieval.TextIndex.build(messages), "deep", expand=lambda q, n: [f"{q}{i}" for i in range(n)])
+
+
+def test_search_ranks_everyone_and_makes_no_digraph(spark):
+    found = _sixty(spark)
+    assert found["people"].where("max_ppr > 0").count() == 60
+    assert found["paths"].count() == 20
+
+
+def test_fast_search_leaves_the_graph_alone(spark, monkeypatch):
+    from threadmill import queries_core
+
+    def refuse(df):
+        raise AssertionError("a relation of the graph was made")
+
+    monkeypatch.setattr(queries_core, "cut_lineage", refuse)
+    assert queries_core.QUERIES["r4_vectors_alone"](spark, "/root/testdata/sf0.001").count() == 30

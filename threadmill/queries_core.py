@@ -73,9 +73,11 @@ def _entities(spark, root):
     return store.entities(reader(spark, root)("extracted_entities"))
 
 
-def graph_parts(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """All vertices and edges over one store."""
+def graph_parts(spark: SparkSession, root: str, kept: bool = False) -> dict[str, DataFrame]:
+    """All vertices and edges over one store; with ``kept`` the messages are made distinct once for all of them."""
     messages, contacts, found = _messages(spark, root), _contacts(spark, root), _entities(spark, root)
+    if kept:
+        messages = cut_lineage(messages.select("id", "chat_jid", "us", "sender", "grouped"))
     people = graph.persons(contacts)
     member, direct, talked, mentioned = graph.member_of(messages, people), graph.messaged(messages, people), graph.conversed(messages, people), graph.mentions(messages, found, people)
     topic = graph.topics(found)
@@ -502,9 +504,9 @@ def _(spark, root):
 
 @query("g15_flow_paths")
 def _(spark, root):
-    parts = graph_parts(spark, root)
+    parts = graph_parts(spark, root, kept=True)
     top = _busiest(parts, 6).collect()  # six seeds
-    return graph.flow_paths(cut_lineage(parts["digraph"]), [r["node"] for r in top])
+    return graph.flow_paths(parts["talk"], [r["node"] for r in top], hubs=parts["hubs"])
 
 
 def _undirected(spark, root):
