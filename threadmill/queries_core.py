@@ -723,13 +723,16 @@ _OWNER = "155599999999@s.whatsapp.net"
 
 
 def _search(spark, root, depth: str = "balanced", text: str = _QUERY):
-    m = cut_lineage(reader(spark, root)("messages").where("embedding is not null").select("id", "chat_jid", "embedding").dropDuplicates(["id", "chat_jid"]))
-    full = _messages(spark, root, "text_content", names=True).join(m, ["id", "chat_jid"], "left")
-    parts = graph_parts(spark, root)
-    parts["digraph"] = cut_lineage(parts["digraph"])
+    full = _messages(spark, root, "text_content", names=True)
+    held = reader(spark, root)("messages").where("embedding is not null").select("id", "chat_jid", columns.bare_jid(F.col("sender_jid")).alias("sender"), "embedding")
+    use_graph = retrieval.DEPTHS[depth][2]
+    parts = graph_parts(spark, root, kept=use_graph)
+    if use_graph:  # what the rank and the paths both read
+        parts |= {name: cut_lineage(parts[name]) for name in ("conversed", "messaged", "member_of", "mentions")}
+        parts |= {"talk": cut_lineage(graph.talk_edges(parts["messaged"], parts["conversed"])), "hubs": cut_lineage(graph.hubs_of(parts["member_of"], parts["mentions"]))}
     stored = _query_vectors(spark, root)
     # no embedder is at hand: the variants have stored vectors
-    found = retrieval.run_search(text, lambda texts: stored[: len(texts)], full, _contacts(spark, root), parts, retrieval.TextIndex.build(full), depth, expand=lambda query, n: [f"{query} ({i})" for i in range(n)])
+    found = retrieval.run_search(text, lambda texts: stored[: len(texts)], full, _contacts(spark, root), parts, retrieval.TextIndex.build(full), depth, expand=lambda query, n: [f"{query} ({i})" for i in range(n)], stored=held)
     return found, parts
 
 
