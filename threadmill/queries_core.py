@@ -92,7 +92,6 @@ def graph_parts(spark: SparkSession, root: str, kept: bool = False) -> dict[str,
         "mentions": mentioned,
         "co_occurs": graph.co_occurs(member),
         "discusses": graph.discusses(mentioned, topic),
-        "digraph": graph.weighted_digraph(direct, talked, member, mentioned),
         "talk": graph.talk_edges(direct, talked),
         "hubs": graph.hubs_of(member, mentioned),
     }
@@ -448,7 +447,13 @@ _part("discusses", ["person", "topic_name", "source", "mention_count"], f"WITH {
 _part("co_occurs", ["person1", "person2", "shared_groups"], f"WITH {_M}, {_C}, {_P}, {_MO}, {_CO} SELECT * FROM co", "g8_co_occurs")
 _part("conversed", ["person1", "person2", "group_jid", "exchange_count", "first_us", "last_us"], f"WITH {_M}, {_C}, {_P}, {_CV} SELECT * FROM cv", "g9_conversed")
 _part("mentions", ["person", "entity_type", "entity_value", "mention_count"], f"WITH {_M}, {_C}, {_E}, {_P}, {_ME} SELECT * FROM me", "g10_mentions")
-_part("digraph", ["src", "dst", "weight"], f"WITH {_GRAPH}, {_W} SELECT * FROM w", "g13_weighted_digraph")
+
+
+@query("g13_weighted_digraph", f"WITH {_GRAPH}, {_W} SELECT * FROM w")
+def _(spark, root):
+    parts = graph_parts(spark, root, kept=True)
+    return graph.weighted_digraph(*(parts[name] for name in ("messaged", "conversed", "member_of", "mentions")))
+
 
 
 _TOPICS = "tp AS (SELECT entity_value, entity_type FROM e WHERE entity_type IN ('tech', 'org', 'event') GROUP BY 1, 2 HAVING count(*) >= 3)"
